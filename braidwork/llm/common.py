@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +32,35 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` as a Parquet table in the shared folder and go on from there: it outlives executors, and is smaller than a checkpoint of rows."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bits of the filter that ``only_listed`` broadcasts: 1 MB, whatever the data.
+FILTER_BITS = 1 << 23
+
+
+def only_listed(df: DataFrame, key: str, listed: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+    """Drop most rows of ``df`` whose ``key`` isn't among those of ``listed``, before a shuffle for the exact join.
+
+    One hash a key into a bitmap of fixed size. With many more keys than bits it drops nothing, and nothing else changes."""
+    slot = F.pmod(F.xxhash64(key), F.lit(bits))
+    rows = listed.select((slot + 1).alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("m")).collect()
+    bitmap = np.zeros(bits // 8, dtype=np.uint8)
+    for r in rows:
+        bitmap[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(bytes(r["m"]), dtype=np.uint8)
+    shared = df.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits_ = np.frombuffer(shared.value, dtype=np.uint8)
+        for batch in batches:
+            h = batch.column(batch.num_columns - 1).to_numpy()
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1])).filter(pa.array((bits_[h >> 3] >> (h & 7) & 1).astype(bool)))
+
+    return df.withColumn("_slot", slot).mapInArrow(pick, df.schema)
 
 
 def word_array(text: Column) -> Column:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, list_array, mixed, shingle_hashes, sorted_sets, span_hashes, text_chunks, word_spans
+from .common import cut, list_array, only_listed, mixed, shingle_hashes, sorted_sets, span_hashes, text_chunks, word_spans
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares a band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.99997.
@@ -166,9 +166,10 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, threshold: float
     banded = nodes.select("node", "rep", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1").drop("n")
     members = cut(banded.join(shared, "band"))
-    reps = members.select("node", "rep").distinct()
+    reps = cut(members.select("rep").distinct())
     sets = cut(
-        docs.join(reps.select("rep"), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
+        only_listed(docs, "doc_id", reps.withColumnRenamed("rep", "doc_id"))
+        .join(reps, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
         .select("text")
         .mapInArrow(_shingler(shingle), "node binary, shingles array<long>")
         .where("node is not null")
