@@ -32,7 +32,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares a band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.99997.
 BANDS, ROWS = 20, 4
 #: Centres of one bucket that are compared at a time.
-CENTRES = 16
+CENTRES = 64
 
 
 def dart_signature(elements: np.ndarray, row: np.ndarray, n: int, k: int, weight: np.ndarray | None = None) -> np.ndarray:
@@ -194,9 +194,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, threshold: float
         if now.isEmpty():
             break
         pairs = now.join(at.select("band", F.col("node").alias("b"), F.col("label").alias("lb")), "band").where("la != lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        links = cut(links.union(similar(pairs)).distinct())
+        fresh = cut(similar(pairs))
         tested = cut(tested.union(now.select("band", F.col("a").alias("node"))).distinct())
-        labels = components(links)
+        if not fresh.isEmpty():
+            links = cut(links.union(fresh).distinct())
+            labels = components(links)
     placed = signed.where("node is not null").select("doc_id", "node", "n_shingles").join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("class"))
     named = placed.groupBy("class").agg(F.min("doc_id").alias("class_id"))
     return placed.join(named, "class").select("doc_id", "class_id", "n_shingles").union(signed.where("node is null").select("doc_id", F.col("doc_id").alias("class_id"), "n_shingles"))
