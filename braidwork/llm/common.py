@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 #: Bytes of text that numpy works on at once; a longer text is a chunk of its own.
 CHUNK_BYTES = 2 << 20
@@ -43,10 +44,10 @@ def cut(df: DataFrame) -> DataFrame:
 FILTER_BITS = 1 << 23
 
 
-def only_listed(df: DataFrame, key: str, listed: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
+def only_listed(df: DataFrame, key: str, listed: DataFrame, bits: int = FILTER_BITS, flag: bool = False) -> DataFrame:
     """Drop most rows of ``df`` whose ``key`` isn't among those of ``listed``, before a shuffle for the exact join.
 
-    One hash a key into a bitmap of fixed size. With many more keys than bits it drops nothing, and nothing else changes."""
+    With ``flag`` all rows stay, and the column listed is false for those that would go. One hash a key into a bitmap of fixed size. With many more keys than bits it drops nothing, and nothing else changes."""
     slot = F.pmod(F.xxhash64(key), F.lit(bits))
     rows = listed.select((slot + 1).alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("m")).collect()
     bitmap = np.zeros(bits // 8, dtype=np.uint8)
@@ -58,9 +59,11 @@ def only_listed(df: DataFrame, key: str, listed: DataFrame, bits: int = FILTER_B
         bits_ = np.frombuffer(shared.value, dtype=np.uint8)
         for batch in batches:
             h = batch.column(batch.num_columns - 1).to_numpy()
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1])).filter(pa.array((bits_[h >> 3] >> (h & 7) & 1).astype(bool)))
+            hit = pa.array((bits_[h >> 3] >> (h & 7) & 1).astype(bool))
+            rest = pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1]))
+            yield rest.append_column("listed", hit) if flag else rest.filter(hit)
 
-    return df.withColumn("_slot", slot).mapInArrow(pick, df.schema)
+    return df.withColumn("_slot", slot).mapInArrow(pick, StructType([*df.schema.fields, *[StructField("listed", BooleanType())] * flag]))
 
 
 def word_array(text: Column) -> Column:

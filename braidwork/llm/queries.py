@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, near_dedup, quality_classifier, quality_rules, substring_dedup
+from . import decontaminate, near_dedup, packing, quality_classifier, quality_rules, substring_dedup, warc
 from .common import table
 
 
@@ -34,12 +34,34 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.passages(table(spark, sf_dir, "documents"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("archive", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_near_dedup": op2_near_dedup,
     "op3_quality_classifier": op3_quality_classifier,
+    "op6_packing": op6_packing,
     "op7_decontaminate": op7_decontaminate,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_warc": op9_warc,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op9_warc": """
+        WITH p AS (
+            SELECT page_id, encode(coalesce(html, '')) AS b, sha256(coalesce(html, '')) AS d FROM pages
+        ), f AS (
+            SELECT d, min(page_id) AS first FROM p WHERE octet_length(b) >= 100 GROUP BY d
+        )
+        SELECT page_id, octet_length(b) AS payload_bytes, p.d AS payload_digest,
+               CASE WHEN octet_length(b) >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN octet_length(b) >= 100 AND page_id <> first THEN first END AS refers_to
+        FROM p LEFT JOIN f ON p.d = f.d
+    """,
+}
