@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, near_dedup, packing, pii, quality_classifier, quality_rules, substring_dedup, warc
+from . import decontaminate, licenses, near_dedup, packing, pii, quality_classifier, quality_rules, substring_dedup, tool_calls, warc
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.passages(table(spark, sf_dir, "documents"))
 
 
+def op4_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.link(*tool_calls.derived(table(spark, sf_dir, "conversations")), tool_calls.SCHEMAS)
+
+
 #: Of the registered queries, whose results are compared; a real run has a key of its own.
 KEY = "registered-query-key"
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_near_dedup": op2_near_dedup,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_tool_calls": op4_tool_calls,
     "op5_pii": op5_pii,
     "op6_packing": op6_packing,
     "op7_decontaminate": op7_decontaminate,
