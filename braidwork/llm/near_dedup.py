@@ -7,7 +7,7 @@ with probability equal to their weighted Jaccard similarity. Only ranks up to ab
 ``k (ln k + 2) / total weight`` are thrown, so the work is linear in distinct shingles plus k log k.
 
 Texts with equal shingle sets are one node. Bands of equal signature parts make buckets. In each bucket all
-nodes are compared with a centre, then those outside the bucket's largest class with all members of other
+nodes are compared with a centre, the node that meets most others, then those outside the bucket's largest class with all members of other
 classes, some centres at a time, until no two members of different classes are left uncompared. So the work
 in a bucket is linear in its size as long as it holds one class, and no link found by the bands is lost.
 
@@ -32,7 +32,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares a band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.99997.
 BANDS, ROWS = 20, 4
 #: Centres of one bucket that are compared at a time.
-CENTRES = 64
+CENTRES = 16
 
 
 def dart_signature(elements: np.ndarray, row: np.ndarray, n: int, k: int, weight: np.ndarray | None = None) -> np.ndarray:
@@ -164,8 +164,12 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, threshold: float
     signed = cut(docs.mapInArrow(_signer(shingle, bands, rows), "doc_id long, node binary, n_shingles long, bands array<long>"))
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     banded = nodes.select("node", "rep", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("centre")).where("n > 1").drop("n")
-    members = cut(banded.join(shared, "band"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    met = cut(banded.join(shared, "band"))
+    # The centre is the node that meets most others over all its bands: of copies with edits, most likely what they were copied from.
+    weight = met.groupBy("node").agg(F.sum("n").alias("weight"))
+    heavy = cut(met.join(weight, "node").select("band", "node", "rep", "weight"))
+    members = cut(heavy.join(heavy.groupBy("band").agg(F.max(F.struct("weight", "node")).alias("c")).select("band", F.col("c.node").alias("centre")), "band"))
     reps = cut(members.select("rep").distinct())
     sets = cut(
         only_listed(docs, "doc_id", reps.withColumnRenamed("rep", "doc_id"))
