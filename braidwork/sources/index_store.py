@@ -1,0 +1,107 @@
+"""A keyed Parquet table without a table format: versions in folders, a pointer file names the current one.
+
+Upserts and deletes write a new version of the touched partitions only and copy the pointer last, so readers see
+the old or the new table. The pointer is one small JSON file, read and written through Spark's file system.
+"""
+
+from __future__ import annotations
+
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+class IndexStore:
+    """Search documents by message_id in ``parts`` hash partitions of the key."""
+
+    def __init__(self, spark: SparkSession, root: str, key: str = "message_id", parts: int = 16) -> None:
+        self.spark, self.root, self.key, self.parts = spark, root.rstrip("/"), key, parts
+
+    def _file(self, name: str):  # noqa: ANN202
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")  # type: ignore[union-attr]
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path  # type: ignore[union-attr]
+
+    def get_state(self, name: str) -> dict[str, object]:
+        fs, path = self._file(f"{name}.json")
+        return json.loads(self.spark.read.text(str(path), wholetext=True).first()[0]) if fs.exists(path) else {}
+
+    def put_state(self, name: str, value: dict[str, object]) -> None:
+        fs, path = self._file(f"{name}.json")
+        fs2, fresh = self._file(f".{name}-{uuid.uuid4().hex}")
+        out = fs2.create(fresh, True)
+        out.write(bytearray(json.dumps(value).encode()))
+        out.close()
+        fs.delete(path, False)
+        fs.rename(fresh, path)
+
+    def clear_state(self, name: str) -> None:
+        fs, path = self._file(f"{name}.json")
+        fs.delete(path, False)
+
+    def _slot(self):  # noqa: ANN202
+        return F.pmod(F.xxhash64(self.key), F.lit(self.parts)).cast("int")
+
+    def read(self) -> DataFrame | None:
+        """None before the first write."""
+        folders: dict[str, str] = self.get_state("current")  # type: ignore[assignment]
+        paths = sorted(set(folders.values()))
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def _replace(self, rows: DataFrame, slots: list[int]) -> None:
+        """Write the slots anew, from all their rows."""
+        folders = dict(self.get_state("current"))
+        base = f"{self.root}/v-{uuid.uuid4().hex}"
+        rows.withColumn("_slot", self._slot()).repartition("_slot").write.partitionBy("_slot").parquet(base)
+        written = {r["_slot"] for r in self.spark.read.parquet(base).select("_slot").distinct().collect()} if slots else set()
+        for s in slots:
+            if s in written:
+                folders[str(s)] = f"{base}/_slot={s}"
+            else:
+                folders.pop(str(s), None)
+        self.put_state("current", folders)
+
+    def _touched(self, keys: DataFrame) -> list[int]:
+        return sorted(r[0] for r in keys.select(self._slot()).distinct().collect())
+
+    def _old(self, slots: list[int]) -> DataFrame | None:
+        folders = self.get_state("current")
+        paths = [folders[str(s)] for s in slots if str(s) in folders]
+        return self.spark.read.parquet(*paths) if paths else None  # type: ignore[arg-type]
+
+    def upsert(self, rows: DataFrame) -> int:
+        """Insert or replace by key; of rows with one key the last by updated_at wins. Returns how many."""
+        one = rows.groupBy(self.key).agg(F.max_by(F.struct(*rows.columns), F.struct("updated_at", F.xxhash64(*rows.columns))).alias("r")).select("r.*")
+        slots, old = self._touched(one), None
+        if not slots:
+            return 0
+        old = self._old(slots)
+        merged = one if old is None else old.join(one, self.key, "left_anti").unionByName(one)
+        self._replace(merged, slots)
+        return one.count()
+
+    def delete(self, keys: DataFrame) -> int:
+        """Delete by key; returns how many were there."""
+        slots = self._touched(keys)
+        old = self._old(slots)
+        if old is None:
+            return 0
+        gone = old.join(keys.select(self.key).distinct(), self.key, "left_semi").count()
+        self._replace(old.join(keys.select(self.key).distinct(), self.key, "left_anti"), slots)
+        return gone
+
+    def delete_stream(self, site_id: int, sid: int) -> int:
+        now = self.read()
+        return 0 if now is None else self.delete(now.where((F.col("site_id") == site_id) & (F.col("sid") == sid)).select(self.key))
+
+
+#: Content types that have an index.
+INDEXES = {"messages": "messages", "sms": "sms", "files": "files", "channels": "channels", "users": "users"}
+
+
+def index_of(content_type: str) -> str:
+    try:
+        return INDEXES[content_type]
+    except KeyError:
+        raise ValueError(f"no index for {content_type}") from None
