@@ -29,7 +29,7 @@ def _star(s: SparkSession, d: str) -> DataFrame:
 Q.add("ext_star_join", _star, """SELECT r_name, n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
       JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""")
 Q.add("ext_semi_join", lambda s, d: t.table(s, d, "customer").join(t.table(s, d, "orders").where("o_totalprice > 200000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
-Q.add("ext_anti_join", lambda s, d: t.table(s, d, "customer").join(t.table(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+Q.add("ext_anti_join", lambda s, d: t.table(s, d, "customer").join(t.table(s, d, "orders").where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
 Q.add("ext_full_join", lambda s, d: t.table(s, d, "customer").where("c_custkey % 2 = 0").select("c_custkey").join(t.table(s, d, "orders").where("o_orderkey % 3 = 0").groupBy("o_custkey").agg(F.count("*").alias("n")), F.col("c_custkey") == F.col("o_custkey"), "full").select("c_custkey", "o_custkey", "n"),
       "SELECT c_custkey, o_custkey, n FROM (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) FULL JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1) ON c_custkey = o_custkey")
 Q.add("ext_cube", lambda s, d: _l(s, d).cube("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("q"), F.grouping_id().alias("g")), "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS q, grouping_id(l_returnflag, l_linestatus) AS g FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
@@ -38,7 +38,7 @@ Q.add("ext_approx", lambda s, d: _l(s, d).groupBy("l_returnflag").agg(F.approx_c
 Q.add("ext_having", lambda s, d: _l(s, d).groupBy("l_orderkey").agg(F.sum("l_quantity").alias("q")).where("q > 150"), "SELECT l_orderkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1 HAVING sum(l_quantity) > 150")
 _keys = lambda s, d, c: _l(s, d).where(c).select("l_suppkey")
 Q.add("ext_intersect", lambda s, d: _keys(s, d, "l_quantity > 49").intersect(_keys(s, d, "l_discount > 0.09")), "SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 INTERSECT SELECT l_suppkey FROM lineitem WHERE l_discount > 0.09")
-Q.add("ext_except", lambda s, d: t.table(s, d, "supplier").select("s_suppkey").exceptAll(_keys(s, d, "l_quantity = 50").distinct().select(F.col("l_suppkey").alias("s_suppkey"))), "SELECT s_suppkey FROM supplier EXCEPT SELECT l_suppkey FROM lineitem WHERE l_quantity = 50")
+Q.add("ext_except", lambda s, d: t.table(s, d, "supplier").select("s_suppkey").exceptAll(_keys(s, d, "l_quantity = 50 and l_discount > 0.08").distinct().select(F.col("l_suppkey").alias("s_suppkey"))), "SELECT s_suppkey FROM supplier EXCEPT SELECT l_suppkey FROM lineitem WHERE l_quantity = 50 AND l_discount > 0.08")
 _w = lambda: Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
 Q.add("ext_top_per_group", lambda s, d: t.table(s, d, "orders").withColumn("rn", F.row_number().over(_w())).where("rn <= 3").select("o_custkey", "o_orderkey", "rn"), "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders QUALIFY rn <= 3")
 Q.add("ext_window_frame", lambda s, d: t.table(s, d, "events").withColumn("avg3", F.round(F.avg("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-2, 0)), 6)).select("event_id", "avg3"), "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS 2 PRECEDING), 6) AS avg3 FROM events")
@@ -47,7 +47,7 @@ Q.add("ext_sliding", lambda s, d: indexing.windowed(t.table(s, d, "events"), sli
       """WITH h AS (SELECT *, CAST(time_bucket(INTERVAL 30 MINUTE, ts) AS TIMESTAMP) AS b FROM events) SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total
       FROM (SELECT b AS start, event_type, value FROM h UNION ALL SELECT b - INTERVAL 30 MINUTE, event_type, value FROM h) GROUP BY ALL""")
 Q.add("ext_json", lambda s, d: t.table(s, d, "events").groupBy(F.get_json_object("props", "$.k").cast("int").alias("k")).agg(F.count("*").alias("n")), "SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, count(*) AS n FROM events GROUP BY 1")
-Q.add("ext_pivot", lambda s, d: t.table(s, d, "orders").groupBy("o_orderstatus").pivot("o_orderpriority", ["1-URGENT", "5-LOW"]).agg(F.count("*")).select("o_orderstatus", F.coalesce("1-URGENT", F.lit(0)).cast("long").alias("urgent"), F.coalesce("5-LOW", F.lit(0)).cast("long").alias("low")),
+Q.add("ext_pivot", lambda s, d: t.table(s, d, "orders").groupBy("o_orderstatus").pivot("o_orderpriority", ["1-URGENT", "5-LOW"]).agg(F.count(F.lit(1))).select("o_orderstatus", F.coalesce("1-URGENT", F.lit(0)).cast("long").alias("urgent"), F.coalesce("5-LOW", F.lit(0)).cast("long").alias("low")),
       "SELECT o_orderstatus, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent, count(*) FILTER (o_orderpriority = '5-LOW') AS low FROM orders GROUP BY 1")
 
 

@@ -54,9 +54,9 @@ class IndexStore:
         folders = dict(self.get_state("current"))
         base = f"{self.root}/v-{uuid.uuid4().hex}"
         rows.withColumn("_slot", self._slot()).repartition("_slot").write.partitionBy("_slot").parquet(base)
-        written = {r["_slot"] for r in self.spark.read.parquet(base).select("_slot").distinct().collect()} if slots else set()
         for s in slots:
-            if s in written:
+            fs, path = self._file(f"{base.removeprefix(self.root + '/')}/_slot={s}")
+            if fs.exists(path):
                 folders[str(s)] = f"{base}/_slot={s}"
             else:
                 folders.pop(str(s), None)
