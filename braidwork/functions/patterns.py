@@ -48,7 +48,7 @@ RECIPIENT = (
     r"|deliver\s+(?:this|the|a)?\s*(?:message|msg)?\s*to|(?:tell|message|notify|inform))\s+([a-zA-Z0-9_\s'@.-]+?)"
     r"(?:\s+(?:that|saying|say|about|to|regarding|with\s+message)|:|,|$)"
 )
-SUSPICIOUS = (r"\b\w+percent\b", r"\b\w+(?:the|and|or|of|to)\b")
+SUSPICIOUS = (r"\wpercent\b", r"\w(?:the|and|or|of|to)\b")
 NUMERIC = r"^(?:[0-9]+(?:\.[0-9]+)?%?|[0-9]{1,3}(?:,[0-9]{3})+)$"
 EMOJI = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{2300}-\x{23FF}\x{2B00}-\x{2BFF}\x{FE0F}\x{200D}\x{20E3}]"
 ZONE_ALIASES = {

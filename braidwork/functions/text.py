@@ -115,6 +115,7 @@ def is_list_item(text: Column) -> Column:
 
 
 def is_suspicious(text: Column) -> Column:
+    """A word that ends in "percent" or in a function word: one word character before the ending is enough to know."""
     return _any(text, P.SUSPICIOUS)
 
 

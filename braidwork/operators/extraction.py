@@ -11,9 +11,11 @@ import xml.parsers.expat
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from braidwork.functions.text import is_suspicious, numeric_tokens
 
@@ -30,6 +32,8 @@ ROUTES = {
     **{x: ("source",) for x in LANGUAGES},
 }
 
+#: Bytes of files whose parsed form is held at once.
+BATCH_BYTES = 4 << 20
 BLOCK = "struct<ordinal:int,type:string,text:string,level:int,parent:int,language:string>"
 CELL = "struct<block:int,row:int,column:int,text:string,header:boolean,row_span:int,column_span:int>"
 DOCUMENT = f"status string, error string, backend string, title string, blocks array<{BLOCK}>, cells array<{CELL}>"
@@ -393,13 +397,23 @@ def parse(extension: str, content: bytes | None) -> dict[str, object]:
 def extract(files: DataFrame) -> DataFrame:
     """``files`` (file_id, extension, content) with the columns of DOCUMENT."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for i, x, c in zip(f["file_id"], f["extension"], f["content"]):  # a row at a time: parsed files are large
-                yield pd.DataFrame([{"file_id": i} | parse(x, c)])
-
-    kind = files.schema["file_id"].dataType.simpleString()
-    return files.select("file_id", "extension", "content").mapInPandas(run, f"file_id {kind}, {DOCUMENT}")
+    named = T.StructType([files.schema["file_id"], *T.StructType.fromDDL(DOCUMENT).fields])
+    schema = to_arrow_schema(named)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[dict[str, object]] = []
+            size = 0
+            for i, x, c in zip(*(batch.column(k) for k in range(3))):
+                content = c.as_py()
+                rows.append({"file_id": i.as_py()} | parse(x.as_py(), content))
+                size += len(content or b"")
+                if size > BATCH_BYTES:
+                    yield pa.RecordBatch.from_pylist(rows, schema=schema)
+                    rows, size = [], 0
+            yield pa.RecordBatch.from_pylist(rows, schema=schema)
+
+    return files.select("file_id", "extension", "content").mapInArrow(run, named)
 
 
 def block_rows(documents: DataFrame) -> DataFrame:

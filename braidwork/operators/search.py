@@ -149,8 +149,13 @@ def fuzzy_distance(word: str) -> int:
 def fuzzy_terms(post: DataFrame, words: list[str]) -> DataFrame:
     """Terms of the vocabulary near a word of the query. The words of a query are few; the vocabulary is scanned once."""
     vocabulary = post.select("term").distinct()
-    near = reduce(lambda a, b: a | b, [F.length("term").between(len(w) - k, len(w) + k) & F.levenshtein("term", F.lit(w), k).between(0, k) if (k := fuzzy_distance(w)) else F.col("term") == w for w in words])
-    return vocabulary.where(near)
+    return vocabulary.where(_near(F.col("term"), words))
+
+
+def _near(term: Column, words: list[str]) -> Column:
+    """Within the distance that a word's length allows, lengths first."""
+    one = lambda w, k: F.length(term).between(len(w) - k, len(w) + k) & F.levenshtein(term, F.lit(w), k).between(0, k) if k else term == w
+    return reduce(lambda a, b: a | b, [one(w, fuzzy_distance(w)) for w in words])
 
 
 def fuzzy(post: DataFrame, words: list[str], n: int, avgdl: float) -> DataFrame:
@@ -158,11 +163,24 @@ def fuzzy(post: DataFrame, words: list[str], n: int, avgdl: float) -> DataFrame:
 
 
 def tiered(post: DataFrame, query: str, n: int, avgdl: float) -> DataFrame:
-    """(doc, score): weighted sum of the tiers that match, at least one."""
+    """(doc, score): weighted sum of the tiers that match, at least one.
+
+    The postings of all terms that any tier may use are read and scored once; the tiers are then expressions
+    over a document's few matching terms, and equal the sum of the single legs."""
     words = query_words(query)
-    made = {"phrase": phrase, "any": any_term, "prefix": phrase_prefix, "fuzzy": fuzzy}
-    legs = [f(post, words, n, avgdl).select("doc", (F.col("score") * TIERS[k]).alias("score")) for k, f in made.items()]
-    return reduce(DataFrame.unionByName, legs).groupBy("doc").agg(F.round(F.sum("score"), 6).alias("score"))
+    lead, last = words[:-1], words[-1]
+    rows = term_scores(post.where(F.col("term").isin(words) | F.col("term").startswith(last) | _near(F.col("term"), words)), n, avgdl)
+    row = rows.groupBy("doc").agg(F.collect_list(F.struct("term", "positions", "score")).alias("m"))
+    total = lambda keep: F.aggregate(F.filter("m", keep), F.lit(0.0), lambda a, x: a + x["score"])
+    at = lambda keep: F.flatten(F.transform(F.filter("m", keep), lambda x: x["positions"]))
+    own = [_shifted(at(_is(w)), i) for i, w in enumerate(words)]
+    in_row = lambda begins: F.size(reduce(F.array_intersect, begins)) > 0
+    prefixed = [*own[:-1], _shifted(at(lambda x: x["term"].startswith(last)), len(lead))]
+    any_ = total(lambda x: x["term"].isin(words))
+    of_prefix = total(lambda x: x["term"].isin(lead) | x["term"].startswith(last)) if lead else total(lambda x: x["term"].startswith(last))
+    near = total(lambda x: _near(x["term"], words))
+    tiers = row.select("doc", any_.alias("a"), F.when(in_row(own), any_).otherwise(0.0).alias("p"), F.when(in_row(prefixed), of_prefix).otherwise(0.0).alias("x"), near.alias("f"))
+    return tiers.where("a > 0 or p > 0 or x > 0 or f > 0").select("doc", F.round(TIERS["phrase"] * F.col("p") + TIERS["any"] * F.col("a") + TIERS["prefix"] * F.col("x") + TIERS["fuzzy"] * F.col("f"), 6).alias("score"))
 
 
 def query_words(query: str) -> list[str]:
