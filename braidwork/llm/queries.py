@@ -71,7 +71,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licenses": op10_licenses,
 }
 
+_ITEM_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+_LICENSE_WORDS = r"""list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9\x{80}-\x{FFFF}]+'), lambda x: x <> '')"""
+_TEMPLATES = ", ".join(f"('{name}', {i}, '{text}')" for name, texts in licenses.TEMPLATES.items() for i, text in enumerate(texts))
+
 ORACLE: dict[str, str] = {
+    "op7_decontaminate": f"""
+        WITH i AS (SELECT DISTINCT item_id, {_ITEM_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+        iw AS (
+            SELECT DISTINCT item_id, least(len(w), 13) AS k, array_to_string(w[p:p + least(len(w), 13) - 1], ' ') AS g
+            FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS p FROM i WHERE len(w) > 0)
+        ),
+        d AS (SELECT doc_id, {_ITEM_WORDS} AS w FROM documents),
+        dw AS (
+            SELECT doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') AS g
+            FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d CROSS JOIN (SELECT DISTINCT k FROM iw) WHERE len(w) >= k)
+        ),
+        h AS (SELECT doc_id, dw.k, p, item_id FROM dw JOIN iw ON dw.g = iw.g AND dw.k = iw.k),
+        n AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM h) GROUP BY doc_id),
+        o AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s
+            FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN o USING (doc_id)
+    """,
+    "op10_licenses": f"""
+        WITH t AS (SELECT license, variant, {_LICENSE_WORDS} AS w FROM (VALUES {_TEMPLATES}) v(license, variant, text)),
+        ts AS (SELECT license, variant, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS s FROM t),
+        d AS (SELECT doc_id, {_LICENSE_WORDS} AS w FROM documents),
+        ds AS (SELECT doc_id, list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS s FROM d WHERE len(w) > 2),
+        c AS (SELECT doc_id, license, len(list_intersect(ts.s, ds.s)) / len(ts.s) AS containment FROM ds CROSS JOIN ts)
+        SELECT doc_id, license, max(containment) AS containment FROM c WHERE containment >= 0.8 GROUP BY doc_id, license
+    """,
     "op9_warc": """
         WITH p AS (
             SELECT page_id, encode(coalesce(html, '')) AS b, sha256(coalesce(html, '')) AS d FROM pages
