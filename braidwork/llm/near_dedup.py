@@ -7,9 +7,10 @@ with probability equal to their weighted Jaccard similarity. Only ranks up to ab
 ``k (ln k + 2) / total weight`` are thrown, so the work is linear in distinct shingles plus k log k.
 
 Texts with equal shingle sets are one node. Bands of equal signature parts make buckets. In each bucket all
-nodes are compared with a centre, the node that meets most others, then those outside the bucket's largest class with all members of other
-classes, some centres at a time, until no two members of different classes are left uncompared. So the work
-in a bucket is linear in its size as long as it holds one class, and no link found by the bands is lost.
+nodes are compared with a centre, the node that meets most others; that is linear in the bucket. Where nodes stay
+in other classes than their centre, a pair of them that is alike must share a shingle that the centre hasn't (or be
+small within a larger centre; those pairs are taken by size), so the shared ones among those shingles are the next,
+smaller buckets, with centres of their own, until no bucket holds two classes. No link that the bands find is lost.
 
 Defined results: null or empty texts have no words and are classes of their own; a text of fewer words than
 a shingle is one shingle; repeated rows are members of one class; a class is named by its smallest doc_id
@@ -31,8 +32,8 @@ from .common import cut, list_array, only_listed, mixed, shingle_hashes, sorted_
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares a band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.99997.
 BANDS, ROWS = 20, 4
-#: Centres of one bucket that are compared at a time.
-CENTRES = 16
+#: So many nodes around a centre are compared with each other outright.
+FEW = 24
 
 
 def dart_signature(elements: np.ndarray, row: np.ndarray, n: int, k: int, weight: np.ndarray | None = None) -> np.ndarray:
@@ -158,19 +159,15 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, centres: int = CENTRES) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, class_id and n_shingles for every row of ``docs`` (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = cut(docs.mapInArrow(_signer(shingle, bands, rows), "doc_id long, node binary, n_shingles long, bands array<long>"))
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    banded = nodes.select("node", "rep", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    met = cut(banded.join(shared, "band"))
-    # The centre is the node that meets most others over all its bands: of copies with edits, most likely what they were copied from.
-    weight = met.groupBy("node").agg(F.sum("n").alias("weight"))
-    heavy = cut(met.join(weight, "node").select("band", "node", "rep", "weight"))
-    members = cut(heavy.join(heavy.groupBy("band").agg(F.max(F.struct("weight", "node")).alias("c")).select("band", F.col("c.node").alias("centre")), "band"))
-    reps = cut(members.select("rep").distinct())
+    banded = nodes.select("node", "rep", F.explode("bands").alias("bucket"))
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    met = cut(banded.join(shared, "bucket"))
+    reps = cut(met.select("rep").distinct())
     sets = cut(
         only_listed(docs, "doc_id", reps.withColumnRenamed("rep", "doc_id"))
         .join(reps, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
@@ -179,39 +176,49 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, threshold: float
         .where("node is not null")
         .dropDuplicates(["node"])
     )
+    of_centre, of_node = sets.select(F.col("node").alias("centre"), F.col("shingles").alias("c")), sets.select("node", F.col("shingles").alias("s"))
+    both = F.size(F.array_intersect("c", "s"))
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        a, b = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        return pairs.distinct().join(a, "a").join(b, "b").where(both >= threshold * (F.size("x") + F.size("y") - both)).select("a", "b")
+    def compared(pairs: DataFrame) -> DataFrame:
+        """(centre, node, both, nc, ns, near, rest) of distinct pairs; rest: the node's shingles that the centre hasn't."""
+        out = pairs.join(of_centre, "centre").join(of_node, "node").select("centre", "node", both.alias("both"), F.size("c").alias("nc"), F.size("s").alias("ns"), F.array_except("s", "c").alias("rest"))
+        return out.withColumn("near", F.col("both") >= threshold * (F.col("nc") + F.col("ns") - F.col("both")))
 
-    links = cut(similar(members.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b"))))
-    tested = members.select("band", F.col("centre").alias("node")).distinct()
-    labels = components(links)
+    links = labels = None
+    met = met.select("bucket", "node", "n")
     while True:
-        at = members.select("band", "node").join(labels, "node", "left").select("band", "node", F.coalesce("label", "node").alias("label"))
-        open_ = at.join(tested, ["band", "node"], "left_anti")
-        by_class = open_.groupBy("band", "label").agg(F.count("*").alias("n"))
-        split = by_class.groupBy("band").agg(F.count("*").alias("classes"), F.max_by("label", F.struct("n", "label")).alias("main")).where("classes > 1")
-        rest = open_.join(split, "band").where("label != main").select("band", "label", "node")
-        now = cut(_first(rest, centres).select("band", F.col("node").alias("a"), F.col("label").alias("la")))
-        if now.isEmpty():
+        weight = met.groupBy("node").agg(F.sum("n").alias("weight"))
+        heavy = cut(met.select("bucket", "node").join(weight, "node"))
+        centres = heavy.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("c")).select("bucket", F.col("c.node").alias("centre"))
+        seen = cut(compared(heavy.join(centres, "bucket").where("node != centre").select("centre", "node").distinct()))
+        fresh = seen.where("near").select(F.col("centre").alias("a"), F.col("node").alias("b"))
+        links, labels = _relabelled(links, labels, fresh)
+        left = seen.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(labels.select(F.col("node").alias("centre"), F.col("label").alias("of")), "centre", "left").withColumn("of", F.coalesce("of", "centre"))
+        apart = left.where("label != of").select("centre").distinct()
+        left = cut(left.join(apart, "centre", "left_semi"))
+        left = left.join(left.groupBy("centre").agg((F.count("*") <= FEW).alias("few")), "centre")
+        # A few nodes around a centre are compared with each other; of more, those that are alike only within a larger centre.
+        x = left.where("label != of").select("centre", F.col("node").alias("a"), F.col("label").alias("la"), (F.col("both") * (1 + threshold) / threshold - F.col("ns")).alias("most"))
+        y = left.where("few or ns < nc").select("centre", F.col("node").alias("b"), F.col("label").alias("lb"), "ns", "few")
+        pairs = x.join(y, "centre").where(F.col("la") != F.col("lb")).where(F.col("few") | (F.col("ns") <= F.col("most"))).select(F.least("a", "b").alias("centre"), F.greatest("a", "b").alias("node")).distinct()
+        links, labels = _relabelled(links, labels, cut(compared(pairs)).where("near").select(F.col("centre").alias("a"), F.col("node").alias("b")))
+        # Around a centre with more, all else that is alike shares a shingle that the centre hasn't: those are the next buckets, if they hold two classes.
+        parts = left.where("not few").select("node", F.col("label"), F.explode("rest").alias("s"), "centre").select("node", "label", F.xxhash64("centre", "s").alias("bucket"))
+        open_ = parts.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket", "n")
+        met = cut(parts.join(open_, "bucket").select("bucket", "node", "n").distinct())
+        if met.isEmpty():
             break
-        pairs = now.join(at.select("band", F.col("node").alias("b"), F.col("label").alias("lb")), "band").where("la != lb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        fresh = cut(similar(pairs))
-        tested = cut(tested.union(now.select("band", F.col("a").alias("node"))).distinct())
-        if not fresh.isEmpty():
-            links = cut(links.union(fresh).distinct())
-            labels = components(links)
     placed = signed.where("node is not null").select("doc_id", "node", "n_shingles").join(labels, "node", "left").select("doc_id", "n_shingles", F.coalesce("label", "node").alias("class"))
     named = placed.groupBy("class").agg(F.min("doc_id").alias("class_id"))
     return placed.join(named, "class").select("doc_id", "class_id", "n_shingles").union(signed.where("node is null").select("doc_id", F.col("doc_id").alias("class_id"), "n_shingles"))
 
 
-def _first(rest: DataFrame, centres: int) -> DataFrame:
-    """Up to ``centres`` rows of each bucket: the first of each of as many hash slots, so a hot bucket is combined before it is shuffled."""
-    slot = F.pmod(F.xxhash64("node", "band"), F.lit(centres))
-    return rest.groupBy("band", slot.alias("slot")).agg(F.min(F.struct("node", "label")).alias("one")).select("band", "one.node", "one.label")
+def _relabelled(links: DataFrame | None, labels: DataFrame | None, fresh: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All links so far, and the components: taken anew only if there are new links."""
+    if links is not None and labels is not None and fresh.isEmpty():
+        return links, labels
+    links = cut(fresh if links is None else links.union(fresh).distinct())
+    return links, components(links)
 
 
 def keep_one(docs: DataFrame, **options: object) -> DataFrame:
