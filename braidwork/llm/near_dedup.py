@@ -32,8 +32,8 @@ from .common import cut, list_array, only_listed, mixed, shingle_hashes, sorted_
 SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold shares a band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.99997.
 BANDS, ROWS = 20, 4
-#: So many nodes around a centre are compared with each other outright.
-FEW = 24
+#: The nodes of a bucket of at most so many are compared with each other outright.
+FEW = 16
 
 
 def dart_signature(elements: np.ndarray, row: np.ndarray, n: int, k: int, weight: np.ndarray | None = None) -> np.ndarray:
@@ -187,23 +187,24 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, threshold: float
     links = labels = None
     met = met.select("bucket", "node", "n")
     while True:
-        weight = met.groupBy("node").agg(F.sum("n").alias("weight"))
-        heavy = cut(met.select("bucket", "node").join(weight, "node"))
+        large, few = met.where(F.col("n") > FEW), met.where(F.col("n") <= FEW)
+        weight = large.groupBy("node").agg(F.sum("n").alias("weight"))
+        heavy = cut(large.select("bucket", "node").join(weight, "node"))
         centres = heavy.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("c")).select("bucket", F.col("c.node").alias("centre"))
         seen = cut(compared(heavy.join(centres, "bucket").where("node != centre").select("centre", "node").distinct()))
-        fresh = seen.where("near").select(F.col("centre").alias("a"), F.col("node").alias("b"))
-        links, labels = _relabelled(links, labels, fresh)
+        links, labels = _relabelled(links, labels, seen.where("near").select(F.col("centre").alias("a"), F.col("node").alias("b")))
         left = seen.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")).join(labels.select(F.col("node").alias("centre"), F.col("label").alias("of")), "centre", "left").withColumn("of", F.coalesce("of", "centre"))
-        apart = left.where("label != of").select("centre").distinct()
-        left = cut(left.join(apart, "centre", "left_semi"))
-        left = left.join(left.groupBy("centre").agg((F.count("*") <= FEW).alias("few")), "centre")
-        # A few nodes around a centre are compared with each other; of more, those that are alike only within a larger centre.
+        left = cut(left.join(left.where("label != of").select("centre").distinct(), "centre", "left_semi"))
+        # Alike only within a larger centre: by size. And the nodes of a small bucket: with each other.
         x = left.where("label != of").select("centre", F.col("node").alias("a"), F.col("label").alias("la"), (F.col("both") * (1 + threshold) / threshold - F.col("ns")).alias("most"))
-        y = left.where("few or ns < nc").select("centre", F.col("node").alias("b"), F.col("label").alias("lb"), "ns", "few")
-        pairs = x.join(y, "centre").where(F.col("la") != F.col("lb")).where(F.col("few") | (F.col("ns") <= F.col("most"))).select(F.least("a", "b").alias("centre"), F.greatest("a", "b").alias("node")).distinct()
-        links, labels = _relabelled(links, labels, cut(compared(pairs)).where("near").select(F.col("centre").alias("a"), F.col("node").alias("b")))
-        # Around a centre with more, all else that is alike shares a shingle that the centre hasn't: those are the next buckets, if they hold two classes.
-        parts = left.where("not few").select("node", F.col("label"), F.explode("rest").alias("s"), "centre").select("node", "label", F.xxhash64("centre", "s").alias("bucket"))
+        y = left.where("ns < nc").select("centre", F.col("node").alias("b"), F.col("label").alias("lb"), "ns")
+        pairs = x.join(y, "centre").where(F.col("la") != F.col("lb")).where(F.col("ns") <= F.col("most")).select(F.least("a", "b").alias("centre"), F.greatest("a", "b").alias("node"))
+        t = few.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+        u = t.select("bucket", F.col("node").alias("centre"), F.col("label").alias("of"))
+        pairs = pairs.union(t.join(u, "bucket").where((F.col("centre") < F.col("node")) & (F.col("label") != F.col("of"))).select("centre", "node")).distinct()
+        links, labels = _relabelled(links, labels, cut(compared(pairs).where("near").select(F.col("centre").alias("a"), F.col("node").alias("b"))))
+        # All else that is alike shares a shingle that the centre hasn't: those are the next buckets, if they hold two classes.
+        parts = left.select("node", F.col("label"), F.explode("rest").alias("s"), "centre").select("node", "label", F.xxhash64("centre", "s").alias("bucket"))
         open_ = parts.groupBy("bucket").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket", "n")
         met = cut(parts.join(open_, "bucket").select("bucket", "node", "n").distinct())
         if met.isEmpty():
