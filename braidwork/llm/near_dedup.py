@@ -180,8 +180,11 @@ def near_duplicates(docs: DataFrame, *, shingle: int = SHINGLE, threshold: float
     both = F.size(F.array_intersect("c", "s"))
 
     def compared(pairs: DataFrame) -> DataFrame:
-        """(centre, node, both, nc, ns, near, rest) of distinct pairs; rest: the node's shingles that the centre hasn't."""
-        out = pairs.join(of_centre, "centre").join(of_node, "node").select("centre", "node", both.alias("both"), F.size("c").alias("nc"), F.size("s").alias("ns"), F.array_except("s", "c").alias("rest"))
+        """(centre, node, both, nc, ns, near, rest) of distinct pairs; rest: of the node's shingles that the centre hasn't, the first in order.
+
+        Who is alike shares at least threshold * ns shingles with the node, so all but a share 1 - threshold of them, and
+        so one of the first of those that the centre hasn't, if it must share any of these (prefix filtering)."""
+        out = pairs.join(of_centre, "centre").join(of_node, "node").select("centre", "node", both.alias("both"), F.size("c").alias("nc"), F.size("s").alias("ns"), F.slice(F.array_sort(F.array_except("s", "c")), F.lit(1), F.ceil((1 - threshold) * F.size("s")).cast("int") + 1).alias("rest"))
         return out.withColumn("near", F.col("both") >= threshold * (F.col("nc") + F.col("ns") - F.col("both")))
 
     links = labels = None
