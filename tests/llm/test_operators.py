@@ -182,6 +182,15 @@ def test_passages_cover_shared_text(spark):
             assert r["start"] >= 97 and r["end"] <= 184 and r["n_words"] >= 50 and r["identity"] >= 0.8
 
 
+def test_exact_passages_made_of_common_pieces_are_found(spark):
+    left, right = prose(45, 501), prose(45, 502)
+    others = [(i, prose(60, 510 + i) + " " + piece + " " + prose(60, 530 + i)) for i, piece in ((1, left), (2, right), (8, left), (9, right))]
+    both = [(i, prose(60, 550 + i) + " " + left + " " + right + " " + prose(60, 560 + i)) for i in (5, 6)]
+    rows = substring_dedup.passages(table(spark, others + both)).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in rows} == {(6, 5)}
+    assert any(r["start"] <= 60 and r["end"] >= 150 for r in rows)
+
+
 def test_chains_rise_in_both_texts():
     for seed in range(30):
         r = random.Random(seed)
