@@ -191,6 +191,16 @@ def test_exact_passages_made_of_common_pieces_are_found(spark):
     assert any(r["start"] <= 60 and r["end"] >= 150 for r in rows)
 
 
+def test_periodic_passages_are_found_whole(spark):
+    line = " ".join(f"w{i}" for i in range(13)) + " "
+    texts = [(1, "x " * 400), (2, "x " * 300), (3, prose(40, 601) + " " + line * 20 + prose(40, 602)), (4, line * 9 + prose(90, 603)), (5, prose(200, 604))]
+    rows = substring_dedup.passages(table(spark, texts)).collect()
+    longest = collections.defaultdict(int)
+    for r in rows:
+        longest[r["doc_id"], r["other_id"]] = max(longest[r["doc_id"], r["other_id"]], r["n_words"])
+    assert dict(longest) == {(2, 1): 300, (4, 3): 117}
+
+
 def test_chains_rise_in_both_texts():
     for seed in range(30):
         r = random.Random(seed)
