@@ -201,6 +201,29 @@ def test_periodic_passages_are_found_whole(spark):
     assert dict(longest) == {(2, 1): 300, (4, 3): 117}
 
 
+def test_a_chain_is_cut_where_its_parts_are_apart():
+    r = np.random.default_rng(5)
+    same, inserted, low = r.integers(0, 1 << 40, 120), r.integers(0, 1 << 40, 100), r.integers(0, 1 << 40, 90)
+    b = np.concatenate([same[:60], inserted, same[60:]])
+    got = substring_dedup.align(same, b, 0, 0, [(0, 0, 60), (60, 160, 60)], 32)
+    assert got == [(0, 60, 0, 60, 1.0), (60, 120, 160, 220, 1.0)]
+    near = np.insert(low, 40, 7)  # one word more within a long gap
+    a, b = np.concatenate([same[:60], np.tile(low, 7), same[60:]]), np.concatenate([same[:60], np.tile(low, 6), near, same[60:]])
+    (one,) = substring_dedup.align(a, b, 0, 0, [(0, 0, 60), (690, 691, 60)], 32)
+    assert one[:4] == (0, 750, 0, 751) and one[4] > 0.99
+    for seed in range(40):  # whatever lies between: each equal stretch of 50 words is in a part, and parts are similar enough
+        g = random.Random(seed)
+        pieces, i, j = [], 0, 0
+        for _ in range(g.randrange(1, 30)):
+            n, m, k = g.choice([(g.randrange(1, 90),) * 3, (g.randrange(1, 90), g.randrange(0, 90), 0), (1, 1, 0)])
+            pieces.append((i, j, n, m, k))
+            i, j = i + n, j + m
+        got = substring_dedup.parts(pieces, 50, 0.8)
+        for p, q, n, m, k in pieces:
+            assert k < 50 or any(s <= p and p + n <= e and t <= q and q + m <= f for s, e, t, f, _ in got)
+        assert all(x[4] >= 0.8 - 1e-9 and x[1] - x[0] >= 50 for x in got) and all(x[1] <= y[0] for x, y in zip(got, got[1:]))
+
+
 def test_chains_rise_in_both_texts():
     for seed in range(30):
         r = random.Random(seed)
