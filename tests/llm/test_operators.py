@@ -224,6 +224,24 @@ def test_a_chain_is_cut_where_its_parts_are_apart():
         assert all(x[4] >= 0.8 - 1e-9 and x[1] - x[0] >= 50 for x in got) and all(x[1] <= y[0] for x, y in zip(got, got[1:]))
 
 
+def test_similar_passages_without_long_equal_runs_are_found(spark):
+    texts = []
+    for i in range(30):  # one word in ten differs
+        shared = prose(60, 700 + i)
+        texts += [(2 * i, prose(70, 740 + i) + " " + shared + " " + prose(70, 780 + i)), (2 * i + 1, prose(50, 820 + i) + " " + edited(shared, 10, i) + " " + prose(60, 860 + i))]
+    rows = substring_dedup.passages(table(spark, texts)).collect()
+    assert all(r["doc_id"] == r["other_id"] + 1 and r["identity"] >= 0.8 for r in rows)
+    assert len({r["other_id"] for r in rows}) >= 15  # a seed is not sure
+
+
+def test_extension_crosses_changed_and_skipped_words():
+    a = np.arange(40)
+    b = np.concatenate([a[:10], [99], a[11:20], a[22:40]])  # one word differs, two are left out
+    got = substring_dedup.extended(a, b)
+    assert sum(x[2] for x in got) == 40 and sum(x[3] for x in got) == 38 and sum(x[4] for x in got) == 37
+    assert substring_dedup.extended(a, a + 100) == [] == substring_dedup.extended(a[:0], a)
+
+
 def test_chains_rise_in_both_texts():
     for seed in range(30):
         r = random.Random(seed)
