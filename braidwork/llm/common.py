@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 #: Bytes of text that numpy works on at once; a longer text is a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 #: The words of the contracts: runs of anything but these ASCII blanks.
 BLANKS = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -23,13 +27,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a temporary one only if that is unset."""
-    kept = spark.sparkContext.getCheckpointDir()
+    """The folder that all executors share, from spark.checkpoint.dir. Where that is unset: a temporary one if Spark is this one process, else a folder in the warehouse."""
+    context = spark.sparkContext
+    kept = context.getCheckpointDir()
     if kept:
         return kept
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.sparkContext.setCheckpointDir(named)
-    return spark.sparkContext.getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
+    return context.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -37,33 +44,79 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path  # type: ignore[attr-defined]
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``cut`` that nothing reads any more."""
+    for df in tables:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.cut_path)  # type: ignore[union-attr]
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)  # type: ignore[union-attr]
 
 
 #: Bits of the filter that ``only_listed`` broadcasts: 1 MB, whatever the data.
 FILTER_BITS = 1 << 23
 
 
+def slot_bitmap(listed: DataFrame, slot: Column, bits: int = FILTER_BITS) -> Broadcast[bytes]:
+    """A broadcast bitmap of ``bits`` bits, with those set that ``slot`` (0 to bits - 1) has in ``listed``."""
+    rows = listed.select((slot + 1).alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("m")).collect()
+    bitmap = np.zeros(bits // 8, dtype=np.uint8)
+    for r in rows:
+        bitmap[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(bytes(r["m"]), dtype=np.uint8)
+    return listed.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+
+
+def bits_at(shared: Broadcast[bytes], slots: np.ndarray) -> np.ndarray:
+    return (np.frombuffer(shared.value, dtype=np.uint8)[slots >> 3] >> (slots & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def only_listed(df: DataFrame, key: str, listed: DataFrame, bits: int = FILTER_BITS, flag: bool = False) -> DataFrame:
     """Drop most rows of ``df`` whose ``key`` isn't among those of ``listed``, before a shuffle for the exact join.
 
     With ``flag`` all rows stay, and the column listed is false for those that would go. One hash a key into a bitmap of fixed size. With many more keys than bits it drops nothing, and nothing else changes."""
     slot = F.pmod(F.xxhash64(key), F.lit(bits))
-    rows = listed.select((slot + 1).alias("h")).groupBy(F.expr("bitmap_bucket_number(h)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(h))").alias("m")).collect()
-    bitmap = np.zeros(bits // 8, dtype=np.uint8)
-    for r in rows:
-        bitmap[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(bytes(r["m"]), dtype=np.uint8)
-    shared = df.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+    shared = slot_bitmap(listed, slot, bits)
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits_ = np.frombuffer(shared.value, dtype=np.uint8)
         for batch in batches:
-            h = batch.column(batch.num_columns - 1).to_numpy()
-            hit = pa.array((bits_[h >> 3] >> (h & 7) & 1).astype(bool))
+            hit = pa.array(bits_at(shared, batch.column(batch.num_columns - 1).to_numpy()))
             rest = pa.RecordBatch.from_arrays(batch.columns[:-1], schema=pa.schema(list(batch.schema)[:-1]))
             yield rest.append_column("listed", hit) if flag else rest.filter(hit)
 
-    return df.withColumn("_slot", slot).mapInArrow(pick, StructType([*df.schema.fields, *[StructField("listed", BooleanType())] * flag]))
+    return df.select("*", slot.alias(unused(df.columns, "slot"))).mapInArrow(pick, StructType([*df.schema.fields, *[StructField("listed", BooleanType())] * flag]))
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, with underscores before it until no column of that name is there, in any letter case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Whole groups of rows that agree in the first ``keys`` columns, from sorted batches: (rows, where each group begins, and the end). Holds a group and a batch at most."""
+    rest: pa.RecordBatch | None = None
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None and not batch.num_rows:
+            continue
+        rows = batch if rest is None else rest if batch is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        if rows is None:
+            return
+        new = np.zeros(rows.num_rows, dtype=bool)
+        new[0] = True
+        for i in range(keys):
+            c = rows.column(i)
+            differ = pc.fill_null(pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)), True)
+            new[1:] |= differ.to_numpy(zero_copy_only=False)
+        begin = np.flatnonzero(new)
+        end = int(begin[-1]) if batch is not None else rows.num_rows
+        if end:
+            yield rows.slice(0, end), np.append(begin[begin < end], end)
+        rest = rows.slice(end) if batch is not None else None
 
 
 def word_array(text: Column) -> Column:

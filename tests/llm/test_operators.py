@@ -68,27 +68,62 @@ def test_rules_find_what_is_labelled(spark):
     assert quality_rules.learn_rules(d, labels.limit(0)) == []
 
 
+def weights(text):
+    w = WORD.findall(text or "")
+    n = collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) or (collections.Counter([tuple(w)]) if w else {})
+    return {x: 1 + int(np.log2(c)) for x, c in n.items()}
+
+
+def similarity(a, b):
+    return sum(min(a[x], b[x]) for x in a.keys() & b.keys()) / max(1, sum(max(a.get(x, 0), b.get(x, 0)) for x in a.keys() | b.keys()))
+
+
+def classes(texts):
+    """The index of the first of its class, for each text."""
+    sets = [weights(t) for t in texts]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if sets[i] and sets[j] and label[i] != label[j] and similarity(sets[i], sets[j]) >= 0.8:
+                lo, hi = sorted((label[i], label[j]))
+                label = [lo if x == hi else x for x in label]
+    return label
+
+
 def test_near_duplicates_equal_brute_force(docs):
-    texts = {}
-    for r in docs.collect():
-        texts.setdefault(r["doc_id"], []).append(r["text"])
-    sets = {}
-    for i, many in texts.items():
-        w = WORD.findall(many[0] or "")
-        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) or (frozenset([tuple(w)]) if w else frozenset())
-    ids = [i for i in sets if i is not None]
-    label = {i: i for i in ids}
-    for _ in ids:
-        for a in ids:
-            for b in ids:
-                if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
-                    label[a] = label[b] = min(label[a], label[b])
+    given = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=lambda x: (x[0] is None, x[0] or 0))
+    label = classes([t for _, t in given])
     rows = near_dedup.near_duplicates(docs).collect()
-    assert len(rows) == docs.count()
-    assert {r["doc_id"]: r["class_id"] for r in rows if r["doc_id"] is not None} == label
+    assert sorted((r["doc_id"] or -1, r["class_id"] or -1) for r in rows) == sorted((i or -1, given[k][0] or -1) for (i, _), k in zip(given, label))
+    size = collections.Counter(label)
+    assert sorted(r["class_size"] for r in rows) == sorted(size[k] for k in label)
     kept = near_dedup.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == sorted(set(label.values()))
+    assert sorted((r["doc_id"] or -1 for r in kept.collect())) == sorted(given[k][0] or -1 for k in size)
+
+
+@pytest.mark.parametrize("block", [4, 2000])
+def test_large_groups_equal_brute_force(spark, block):
+    """Copies with edits, of a base that is in the table or not, some by the hundred; buckets and groups are cut into blocks or not."""
+    texts = []
+    for g in range(4):
+        base = prose(150 + 40 * g, 60 + g)
+        texts += [base] * (g % 2) + [edited(base, 26 + 6 * i, 70 + i) for i in range(14)]
+    texts += [prose(60, 300 + i) + "\n" + "\n".join([prose(9, 1)] * 40) for i in range(5)]
+    texts += [texts[3]] * 300
+    rng.shuffle(texts)
+    d = table(spark, list(enumerate(texts)))
+    firsts = {t: i for i, t in reversed(list(enumerate(texts)))}
+    unique = sorted(firsts.values())
+    label = dict(zip(unique, (unique[k] for k in classes([texts[i] for i in unique]))))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(d, block=block).collect()}
+    assert got == {i: label[firsts[t]] for i, t in enumerate(texts)}
+
+
+def test_one_id_with_two_texts_keeps_both(spark):
+    d = table(spark, [(1, prose(50, 1)), (1, prose(50, 2)), (2, prose(50, 2) + " end"), (3, prose(50, 3)), (3, prose(50, 3)), (None, prose(50, 4)), (None, prose(50, 4)), (None, prose(50, 5))])
+    kept = sorted((r["doc_id"] or 0, r["text"]) for r in near_dedup.keep_one(d).collect())
+    assert kept == sorted([(1, prose(50, 1)), (1, prose(50, 2)), (3, prose(50, 3)), (0, prose(50, 4)), (0, prose(50, 5))])
 
 
 def test_near_duplicates_link_through_a_middle(spark):
