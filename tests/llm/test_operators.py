@@ -269,6 +269,83 @@ def test_similar_passages_without_long_equal_runs_are_found(spark):
     assert len({r["other_id"] for r in rows}) >= 15  # a seed is not sure
 
 
+def spans_of(rows):
+    """doc_id -> spans of its passages; those of its first for a copy."""
+    spans = collections.defaultdict(list)
+    for r in rows:
+        spans[r["doc_id"]].append((r["start"], r["end"]))
+        spans[r["other_id"]].append((r["other_start"], r["other_end"]))
+    return spans
+
+
+def test_every_shared_run_lies_in_a_passage(spark):
+    """Brute force over all runs of 50 words of documents put together from common pieces of any length, copies and periodic stretches among them."""
+    r = random.Random(8)
+    pieces = [prose(n, 500 + i) for i, n in enumerate((30, 45, 45, 55, 60, 80, 120, 49, 50, 51))] + ["la " * 70, "la li " * 40]
+    texts = []
+    for i in range(40):
+        own = [prose(r.randrange(0, 60), 600 + i)]
+        for _ in range(r.randrange(1, 4)):
+            own += [r.choice(pieces), prose(r.randrange(0, 9), r.randrange(1 << 20))]
+        texts.append(" ".join(own))
+    texts += [texts[7], texts[7], prose(90, 77), prose(90, 77)]
+    got = substring_dedup.passages(table(spark, list(enumerate(texts)))).collect()
+    words = [t.split() for t in texts]
+    for x in got:
+        a, b = words[x["doc_id"]], words[x["other_id"]]
+        assert x["doc_id"] > x["other_id"] and 50 <= x["n_words"] == x["end"] - x["start"] and 0 <= x["start"] < x["end"] <= len(a) and 0 <= x["other_start"] < x["other_end"] <= len(b)
+        assert x["identity"] < 1 or a[x["start"] : x["end"]] == b[x["other_start"] : x["other_end"]]
+    spans, first = spans_of(got), {t: i for i, t in reversed(list(enumerate(texts)))}
+    runs = collections.defaultdict(lambda: collections.defaultdict(list))
+    for t, i in first.items():
+        for p in range(len(words[i]) - 49):
+            runs[tuple(words[i][p : p + 50])][i].append(p)
+    shared = {run: at for run, at in runs.items() if len(at) > 1}
+    assert len(shared) > 100
+    for at in shared.values():
+        for i, places in at.items():
+            assert any(s <= p and p + 50 <= e for p in places for s, e in spans[i]), (i, places)
+    pairs = {(x["doc_id"], x["other_id"]) for x in got}
+    assert {(40, 7), (41, 7), (43, 42)} <= pairs and not any(x["doc_id"] in (40, 41) and x["other_id"] != 7 for x in got)
+
+
+def test_a_passage_whose_parts_are_elsewhere_is_found(spark):
+    passage = prose(80, 31).split()
+    left, right = " ".join(passage[:45]), " ".join(passage[-45:])
+    parts = {0: left, 8: left, 1: right, 9: right, 4: " ".join(passage), 5: " ".join(passage)}
+    d = table(spark, [(i, f"{prose(40, 800 + i)} {t} {prose(40, 900 + i)}") for i, t in parts.items()])
+    assert (5, 4) in {(r["doc_id"], r["other_id"]) for r in substring_dedup.passages(d).collect() if r["n_words"] >= 80}
+
+
+@pytest.mark.parametrize("gap", [480, 600, 2500])
+def test_exact_runs_beside_a_long_gap_are_found(spark, gap):
+    run, other = prose(400, 41), prose(400, 42)
+    middle = prose(gap, 43)
+    changed = edited("more " + middle, 6, 44)
+    d = table(spark, [(1, f"{run} {middle} {other}"), (2, f"{run} {changed} {other}")])
+    got = substring_dedup.passages(d).collect()
+    for lo, hi in ((0, 400), (400 + gap, 800 + gap)):
+        assert any(r["other_start"] <= lo and r["other_end"] >= hi for r in got)
+
+
+def test_similar_passages_recall(spark):
+    """Of passages of 60 words, changed at random; the README states the figures."""
+    found = {}
+    for same in (80, 85, 90, 95):
+        r, texts = random.Random(same), []
+        for i in range(60):
+            words = prose(60, 5000 + 100 * same + i).split()
+            n = round(60 * (100 - same) / 100)
+            other = words.copy()
+            for j in r.sample(range(60), n):
+                other[j] = f"new{j}"
+            texts += [(2 * i, f"{prose(50, i)} {' '.join(words)} {prose(50, 100 + i)}"), (2 * i + 1, f"{prose(50, 200 + i)} {' '.join(other)} {prose(50, 300 + i)}")]
+        got = {(x["other_id"], x["doc_id"]) for x in substring_dedup.passages(table(spark, texts)).collect()}
+        found[same] = sum((2 * i, 2 * i + 1) in got for i in range(60)) / 60
+    print(found)
+    assert found[95] >= 0.95 and found[90] >= 0.9
+
+
 def test_extension_crosses_changed_and_skipped_words():
     a = np.arange(40)
     b = np.concatenate([a[:10], [99], a[11:20], a[22:40]])  # one word differs, two are left out
