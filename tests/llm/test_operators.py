@@ -354,6 +354,19 @@ def test_extension_crosses_changed_and_skipped_words():
     assert substring_dedup.extended(a, a + 100) == [] == substring_dedup.extended(a[:0], a)
 
 
+def test_extensions_of_many_equal_those_of_one():
+    r = np.random.default_rng(1)
+    for _ in range(20):
+        texts = [[r.integers(0, 5, r.integers(1, 90)).astype(np.int32) for _ in range(9)] for _ in range(2)]
+        words, size = [np.concatenate(x) for x in texts], [np.array([len(y) for y in x]) for x in texts]
+        begin, at = [np.cumsum(n) - n for n in size], [np.array([r.integers(0, m + 1) for m in n]) for n in size]
+        after, before = substring_dedup.extensions(words, begin, at, size, 1, 50), substring_dedup.extensions(words, begin, [x - 1 for x in at], size, -1, 50)
+        for k in range(9):
+            (a, b), (i, j) = (x[k] for x in texts), (x[k] for x in at)
+            for got, pieces in ((after, substring_dedup.extended(a[i : i + 50], b[j : j + 50])), (before, substring_dedup.extended(a[max(i - 50, 0) : i][::-1], b[max(j - 50, 0) : j][::-1]))):
+                assert (got[0][k], got[1][k]) == (sum(p[2] for p in pieces), sum(p[3] for p in pieces))
+
+
 def test_chains_rise_in_both_texts():
     for seed in range(30):
         r = random.Random(seed)
