@@ -15,6 +15,7 @@ item_id has no window; item ids that occur twice count once; repeated rows each
 
 from __future__ import annotations
 
+import functools
 import math
 import pickle
 from collections.abc import Callable, Iterator
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, span_hashes, text_chunks, word_spans
+from .common import cut, only_listed, span_hashes, text_chunks, word_spans
 
 WINDOW = 13
 #: Words of items in one automaton: it takes some hundreds of bytes a word.
@@ -197,7 +198,7 @@ def _matcher(blob: object, named: str) -> Callable[[Iterator[pa.RecordBatch]], I
 
 
 def _blocks(items: DataFrame, window: int, block_words: int) -> Iterator[object]:
-    """Broadcasts of (sorted word hashes, automaton, shortest window), one a block."""
+    """Broadcasts, a block each, of (sorted word hashes, automaton, shortest window), one a block."""
     spark = items.sparkSession
     pieces = cut(item_pieces(items, window, max(block_words // 4, 2 * window)))
     words = pieces.agg(F.sum(F.size("words"))).first()[0] or 0
@@ -215,27 +216,26 @@ ADDED = "n_words long, hit_starts array<long>, hit_ends array<long>, items array
 
 
 def matches(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(row struct of ``docs``, n_words, hit_starts, hit_ends, items): hit spans in words, disjoint and in order if there is one block."""
+    """(row struct of ``docs``, n_words, hit_starts, hit_ends, items): hit spans in words, disjoint and in order if there is one block.
+
+    With several blocks the rows are numbered in a written table, and each block is a pass over it; only the numbers, spans and items
+    of rows that a further block hits are shuffled, and of the rows themselves only those."""
     packed = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
-    schema = f"row {packed.schema['row'].dataType.simpleString()}, text string, {ADDED}"
-    passes = [packed.mapInArrow(_matcher(b, "text"), schema).drop("text") for b in _blocks(items, window, block_words)]
-    if len(passes) == 1:
-        return passes[0]
-    every = passes[0].withColumn("first", F.lit(True))
-    for p in passes[1:]:
-        every = every.union(p.where(F.size("items") > 0).withColumn("first", F.lit(False)))
-    key = F.xxhash64("row")
-    gathered = every.groupBy(key.alias("key"), "row").agg(
-        F.max("n_words").alias("n_words"),
-        F.sum(F.col("first").cast("long")).alias("copies"),
-        F.flatten(F.collect_set(F.arrays_zip("hit_starts", "hit_ends"))).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
-    )
-    spans = F.sort_array("spans")
-    return gathered.select(
-        "row", "n_words", F.transform(spans, lambda x: x["hit_starts"]).alias("hit_starts"), F.transform(spans, lambda x: x["hit_ends"]).alias("hit_ends"), "items",
-        F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
-    ).drop("copy")
+    blocks = list(_blocks(items, window, block_words))
+    if len(blocks) > 1:
+        packed = cut(packed.withColumn("number", F.monotonically_increasing_id()))
+    schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in packed.schema)}, {ADDED}"
+    passes = [packed.mapInArrow(_matcher(b, "text"), schema) for b in blocks]
+    first = passes[0].drop("text")
+    if len(blocks) == 1:
+        return first
+    more = [p.where(F.size("items") > 0).select("number", F.arrays_zip("hit_starts", "hit_ends").alias("spans"), "items") for p in passes[1:]]
+    hits = cut(functools.reduce(DataFrame.union, more).groupBy("number").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("more")))
+    flagged = only_listed(first, "number", hits, flag=True)
+    spans = F.array_sort(F.concat(F.arrays_zip("hit_starts", "hit_ends"), F.coalesce("spans", F.array().cast("array<struct<hit_starts:bigint,hit_ends:bigint>>"))))
+    met = flagged.where("listed").join(hits, "number", "left").select("row", "n_words", spans.alias("spans"), F.array_distinct(F.concat("items", F.coalesce("more", F.array().cast("array<bigint>")))).alias("items"))
+    met = met.select("row", "n_words", F.transform("spans", lambda x: x["hit_starts"]).alias("hit_starts"), F.transform("spans", lambda x: x["hit_ends"]).alias("hit_ends"), "items")
+    return flagged.where("not listed").select("row", "n_words", "hit_starts", "hit_ends", "items").union(met)
 
 
 def hit_words() -> Column:

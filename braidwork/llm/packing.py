@@ -1,7 +1,7 @@
 """Conflict-constrained best-fit packing of documents into bins of a fixed number of tokens.
 
-Documents are cut into pieces of at most ``capacity`` tokens; pieces are dealt by hash to shards of about
-``SHARD_PIECES``, so a hot source is spread like any other, and each shard is packed by itself. Pieces go in
+Documents are cut into pieces of at most ``capacity`` tokens; pieces are dealt by a salted hash to shards of about
+``SHARD_PIECES``, so a hot source, and rows that are all the same, are spread like any other, and each shard is packed by itself. Pieces go in
 order of falling length; bins stand in order of residual capacity; from the tightest bin that can hold the
 piece the search goes on to successors until one has neither the piece's source nor its duplicate cluster in
 its bitmaps; a new bin is opened only if none has. Texts are not shuffled, only their lengths.
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import word_array
+from .common import cut, word_array
 
 CAPACITY = 2048
 SHARD_PIECES = 2_000
@@ -76,13 +76,13 @@ def pack(docs: DataFrame, *, capacity: int = CAPACITY, cluster: Column | None =
 
     ``cluster`` names the duplicate cluster; by default equal texts, letter case apart, are one."""
     named = F.xxhash64(F.lower("text")) if cluster is None else cluster
-    rows = docs.count()
-    shards = max(1, math.ceil(rows / shard_pieces))
     whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.when(F.col("text").isNotNull(), named).alias("cluster"), F.size(word_array(F.col("text"))).cast("long").alias("n"))
     pieces = whole.select("doc_id", "source", "cluster", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.floor((F.col("n") - 1) / capacity), F.lit(0).cast("long")))).alias("piece")).select(
         "doc_id", "source", "cluster", "piece", (F.col("piece") * capacity).alias("first_token"), F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("piece") * capacity).alias("n_tokens")
     )
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "cluster"), F.lit(shards)))
+    pieces = cut(pieces.withColumn("salt", F.monotonically_increasing_id()))
+    shards = max(1, math.ceil(pieces.count() / shard_pieces))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "salt"), F.lit(shards))).drop("salt")
 
     def one(group: pa.Table) -> pa.Table:
         group = group.sort_by([("n_tokens", "descending"), ("doc_id", "ascending"), ("piece", "ascending")]).combine_chunks()

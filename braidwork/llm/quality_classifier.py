@@ -1,6 +1,6 @@
 """A text classifier over supervised subword embeddings, trained by numpy stochastic gradient descent.
 
-The features of a text are its words, the byte n-grams inside them (with one blank as boundary) and pairs of
+The features of a text are its words, the character n-grams inside them (of UTF-8 bytes, so a letter beyond ASCII counts as two or three, with one blank as boundary) and pairs of
 neighbouring words, hashed into buckets; a bucket has a learned vector; a text is the mean of its features'
 vectors, then softmax. Since mean and output layer are linear, scoring needs one number a bucket, of bounded
 size, and one pass over the text in numpy; nothing is shuffled.

@@ -1,8 +1,9 @@
 """Tool-call linking for chat data, with DataFrame expressions only.
 
 Calls and results are joined by (conversation, call id). Calls are put in topological order by levels: a call
-without open dependencies has level 0, any other one more than the highest of those it names. Each round settles
-one level for all conversations at once; what is left when a round settles nothing lies on or behind a cycle.
+without open dependencies has level 0, any other one more than the highest of those it names. A conversation's calls are
+settled level by level within one row, or by joins if they are too many for that; what is left when nothing more can be
+settled lies on or behind a cycle.
 Arguments are parsed as variants and checked against the schema of their tool; links come out as canonical JSON,
 compact and with sorted keys.
 
@@ -23,6 +24,9 @@ from .common import cut
 #: What a JSON type of a schema accepts, as type names of variants.
 TYPES = {"string": ("STRING",), "integer": ("BIGINT",), "number": ("BIGINT", "DOUBLE", "DECIMAL"), "boolean": ("BOOLEAN",), "array": ("ARRAY",), "object": ("OBJECT",)}
 
+#: Calls of a conversation that are put in order within one row.
+ROW_CALLS = 1_000
+
 #: tool -> argument -> (type, required)
 Schemas = dict[str, dict[str, tuple[str, bool]]]
 
@@ -57,8 +61,8 @@ def _first(rows: DataFrame, *columns: str) -> DataFrame:
     return rows.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min(F.struct(*columns)).alias("_r")).select("conv_id", "call_id", *[F.col(f"_r.{c}").alias(c) for c in columns])
 
 
-def levels(calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level, missing) of distinct ``calls`` (conv_id, call_id, depends_on array<string>); level is null on and behind a cycle."""
+def _levels_by_rounds(calls: DataFrame) -> DataFrame:
+    """``levels`` by joins, a level a round for all conversations at once."""
     ids = calls.select("conv_id", "call_id")
     wanted = calls.select("conv_id", "call_id", F.explode(F.array_distinct(F.filter(F.coalesce("depends_on", F.array().cast("array<string>")), lambda d: d.isNotNull()))).alias("needs"))
     exists = ids.select("conv_id", F.col("call_id").alias("needs"), F.lit(True).alias("there"))
@@ -80,6 +84,44 @@ def levels(calls: DataFrame) -> DataFrame:
     return ids.join(done, ["conv_id", "call_id"], "left").join(missing, ["conv_id", "call_id"], "left").select("conv_id", "call_id", "level", F.coalesce("missing", F.lit(0)).cast("long").alias("missing"))
 
 
+def _levels_in_rows(calls: DataFrame) -> DataFrame:
+    """``levels`` within a row for each conversation: calls name each other by position, and an array of levels is filled level by level until none is added."""
+    none = F.array().cast("array<string>")
+    needs = F.array_distinct(F.filter(F.coalesce("depends_on", none), lambda d: d.isNotNull())).alias("needs")
+    rows = calls.select("conv_id", "call_id", needs).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("call_id", "needs"))).alias("calls"))
+    rows = rows.select("conv_id", "calls", F.transform("calls", lambda c: c["call_id"]).alias("ids"))
+    places = F.transform("calls", lambda c: F.filter(F.transform(c["needs"], lambda d: F.array_position(F.col("ids"), d).cast("int")), lambda i: i > 0))
+    missing = F.transform("calls", lambda c: F.size(F.filter(c["needs"], lambda d: ~F.array_contains(F.col("ids"), d))).cast("long"))
+    rows = rows.select("conv_id", "ids", places.alias("at"), missing.alias("missing"))
+    state = lambda at, level, more: F.struct(at.alias("at"), level.alias("level"), more.alias("more"))
+
+    def settle(s: Column, r: Column) -> Column:
+        level = F.transform(s["level"], lambda v, i: F.when(v >= 0, v).when(F.forall(F.element_at(s["at"], i + 1), lambda j: F.element_at(s["level"], j) >= 0), r).otherwise(-1))
+        return F.when(s["more"], F.element_at(F.transform(F.array(level), lambda x: state(s["at"], x, F.array_contains(x, r))), 1)).otherwise(s)
+
+    rounds = F.when(F.size("at") > 1, F.sequence(F.lit(1), F.size("at") - 1)).otherwise(F.array().cast("array<int>"))
+    level = F.aggregate(rounds, state(F.col("at"), F.transform("at", lambda a: F.when(F.size(a) == 0, 0).otherwise(-1)), F.lit(True)), settle, lambda s: s["level"])
+    out = rows.select("conv_id", F.explode(F.arrays_zip("ids", level.alias("level"), "missing")).alias("r"))
+    return out.select("conv_id", F.col("r.ids").alias("call_id"), F.when(F.col("r.level") >= 0, F.col("r.level")).alias("level"), F.col("r.missing").alias("missing"))
+
+
+def levels(calls: DataFrame, row_calls: int = ROW_CALLS) -> DataFrame:
+    """(conv_id, call_id, level, missing) of distinct ``calls`` (conv_id, call_id, depends_on array<string>); level is null on and behind a cycle.
+
+    Conversations of up to ``row_calls`` calls are a row each; larger ones are settled by joins, in as many rounds as they have levels."""
+    large = cut(calls.groupBy("conv_id").agg(F.count("*").alias("n")).where(F.col("n") > row_calls).select("conv_id"))
+    if large.isEmpty():
+        return _levels_in_rows(calls)
+    return _levels_in_rows(calls.join(large, "conv_id", "left_anti")).union(_levels_by_rounds(cut(calls.join(large, "conv_id", "left_semi"))))
+
+
+def serialised(linked: DataFrame) -> DataFrame:
+    """(conv_id, json) of the rows of ``link``: a conversation's calls in topological order, as one array of canonical JSON; what has no level (a cycle) comes last."""
+    place = F.struct(F.col("level").isNull().alias("cyclic"), "level", "turn", "call_id", "json")
+    ordered = F.transform(F.array_sort(F.collect_list(place)), lambda x: x["json"])
+    return linked.where("conv_id is not null").groupBy("conv_id").agg(F.concat(F.lit("["), F.array_join(ordered, ","), F.lit("]")).alias("json"))
+
+
 def link(calls: DataFrame, results: DataFrame, schemas: Schemas) -> DataFrame:
     """A row a call: conv_id, call_id, turn, name, level, missing, result_turn, valid, problems and json.
 

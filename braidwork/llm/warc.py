@@ -35,6 +35,8 @@ MIN_REVISIT = 100
 #: Bytes of records after which an archive is closed; an archive is one task's work when normalised and read.
 ARCHIVE_BYTES = 64 << 20
 LEVEL = 6
+#: Archives are dealt to so many tasks a core at most; with more of them a task takes several, one after the other.
+WAVES = 32
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -191,6 +193,8 @@ def round_trip(pages: DataFrame, root: str | None = None) -> DataFrame:
         root = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)  # type: ignore[union-attr]
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)  # type: ignore[union-attr]
+    most = WAVES * spark.sparkContext.defaultParallelism
+    dealt = lambda files: files.repartition(min(max(1, files.count()), most))
     raw = cut(write_monolithic(decided(pages), root))
-    normal = cut(normalise(raw.repartition(max(1, raw.count())), root))
-    return read_records(normal.repartition(max(1, normal.count())), root)
+    normal = cut(normalise(dealt(raw), root))
+    return read_records(dealt(normal), root)
