@@ -9,12 +9,14 @@ from braidwork.functions.patterns import PRICES
 
 
 def price_list(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(PRICES), "model_no long, model_id int, model_name string, p_in double, p_cached double, p_out double")
+    return spark.createDataFrame(list(PRICES), "model_no long, model_id int, model_name string, p_in double, p_cached double, p_out double").select("model_no", "model_id", "model_name", *[F.col(c).cast("decimal(12,6)").alias(c) for c in ("p_in", "p_cached", "p_out")])
 
 
 def amount(inputs: Column, cached: Column, outputs: Column) -> Column:
-    """Cached tokens cost as input where a model has no price for them."""
-    return (inputs - cached) / 1e6 * F.col("p_in") + cached / 1e6 * F.coalesce("p_cached", "p_in") + outputs / 1e6 * F.col("p_out")
+    """Exact, as decimal(36,12). Prices are per million tokens; cached tokens cost as input where a model has no price for them."""
+    n = lambda tokens: tokens.cast("decimal(20,0)")
+    total = n(inputs - cached) * F.col("p_in") + n(cached) * F.coalesce("p_cached", "p_in") + n(outputs) * F.col("p_out")
+    return total.cast("decimal(28,6)") * F.lit("0.000001").cast("decimal(7,6)")
 
 
 def billed(usage: DataFrame, prices: DataFrame) -> DataFrame:
@@ -23,9 +25,9 @@ def billed(usage: DataFrame, prices: DataFrame) -> DataFrame:
 
 
 def rollup(rows: DataFrame, *by: str) -> DataFrame:
-    return rows.rollup(*by).agg(F.count("*").alias("calls"), F.round(F.sum("amount"), 4).alias("amount"), F.sum("input_tokens").alias("input_tokens"))
+    return rows.rollup(*by).agg(F.count("*").alias("calls"), F.round(F.sum("amount"), 4).cast("double").alias("amount"), F.sum("input_tokens").alias("input_tokens"))
 
 
 def detail() -> Column:
     """Billing row details as JSON."""
-    return F.to_json(F.struct("model_id", "model_name", "input_tokens", "cached_tokens", "output_tokens", F.round("amount", 9).alias("amount")))
+    return F.to_json(F.struct("model_id", "model_name", "input_tokens", "cached_tokens", "output_tokens", F.round("amount", 9).cast("double").alias("amount")))

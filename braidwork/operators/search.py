@@ -107,7 +107,7 @@ def bm25(tf: Column, dl: Column, df: Column, n: int, avgdl: float) -> Column:
 def term_scores(post: DataFrame, n: int, avgdl: float) -> DataFrame:
     """(doc, term, positions, score); df is the size of a term's postings, counted for the terms of a query only."""
     df = post.groupBy("term").agg(F.count("*").alias("df"))
-    return post.join(F.broadcast(df), "term").select("doc", "term", "positions", bm25(F.col("tf"), F.col("dl"), F.col("df"), n, avgdl).alias("score"))
+    return post.join(df, "term").select("doc", "term", "positions", bm25(F.col("tf"), F.col("dl"), F.col("df"), n, avgdl).alias("score"))
 
 
 def any_term(post: DataFrame, words: list[str], n: int, avgdl: float) -> DataFrame:

@@ -49,7 +49,7 @@ _FEED = ", feed AS (SELECT m.*, s.teamstreamtype FROM messages m JOIN streams s
 _FEED_COLS = "siteid, sid, smsgid, commentvia, msgtype, message, archiveid, messagetime, editedon, isdeleted, teamstreamtype"
 _feed = lambda s, d, *a: chat.index_feed(t.messages(s, d), t.streams(s, d), *a)
 Q.add("index_feed", lambda s, d: _feed(s, d, 1, [1, 6, 11, 16]).orderBy("messagetime", "smsgid"), t.with_views(f"{_FEED} SELECT {_FEED_COLS} FROM feed WHERE siteid = 1 AND sid IN (1, 6, 11, 16)", "messages", "streams"))
-Q.add("point_read", lambda s, d: _feed(s, d).where("siteid = 1 and sid = 6 and smsgid = 6001"), t.with_views(f"{_FEED} SELECT {_FEED_COLS} FROM feed WHERE siteid = 1 AND sid = 6 AND smsgid = 6001", "messages", "streams"))
+Q.add("point_read", lambda s, d: _feed(s, d).where("siteid = 1 and sid = 6 and smsgid = 6002"), t.with_views(f"{_FEED} SELECT {_FEED_COLS} FROM feed WHERE siteid = 1 AND sid = 6 AND smsgid = 6002", "messages", "streams"))
 Q.add(
     "keyset_page", lambda s, d: chat.keyset_page(_feed(s, d), (datetime(2024, 1, 1, 12), 12001), 25),
     t.with_views(f"{_FEED} SELECT {_FEED_COLS} FROM feed WHERE messagetime > TIMESTAMP '2024-01-01 12:00:00' OR (messagetime = TIMESTAMP '2024-01-01 12:00:00' AND smsgid > 12001) ORDER BY messagetime, smsgid LIMIT 25", "messages", "streams"),
@@ -73,16 +73,16 @@ Q.add(
     t.with_views(f"{_FEED}{_MAPPED} SELECT message_id FROM docs WHERE message_id % 5 <> 0", "messages", "streams"),
 )
 Q.add(
-    "delete_by_sid", lambda s, d: chat.search_messages(_feed(s, d)).where(~((F.col("site_id") == 1) & (F.col("sid") == 6))).groupBy("site_id").agg(F.count("*").alias("n")),
-    t.with_views(f"{_FEED}{_MAPPED} SELECT site_id, count(*) AS n FROM docs WHERE NOT (site_id = 1 AND sid = 6) GROUP BY 1", "messages", "streams"),
+    "delete_by_sid", lambda s, d: chat.search_messages(_feed(s, d)).where(~((F.col("site_id") == 1) & (F.col("sid") == 6))).select("site_id", "sid", "message_id"),
+    t.with_views(f"{_FEED}{_MAPPED} SELECT site_id, sid, message_id FROM docs WHERE NOT (site_id = 1 AND sid = 6)", "messages", "streams"),
 )
 
 _bill = lambda s, d: metering.billed(t.usage(s, d), metering.price_list(s))
 _PRICED = """, prices AS (SELECT * FROM (VALUES (0, 1, 'gpt-4o-mini', 0.150, 0.075, 0.600), (1, 5, 'gpt-4.1', 2.00, 0.50, 8.00), (2, 6, 'gpt-4.1-mini', 0.400, 0.100, 1.600), (3, 2, 'gpt-4o', 2.50, NULL, 10.00)) v(model_no, model_id, model_name, p_in, p_cached, p_out)),
-      bill AS (SELECT u.*, p.model_id, p.model_name, (input_tokens - cached_tokens) / 1e6 * CAST(p_in AS DOUBLE) + cached_tokens / 1e6 * CAST(coalesce(p_cached, p_in) AS DOUBLE) + output_tokens / 1e6 * CAST(p_out AS DOUBLE) AS amount
+      bill AS (SELECT u.*, p.model_id, p.model_name, CAST(CAST(input_tokens - cached_tokens AS DECIMAL(18,0)) * CAST(p_in AS DECIMAL(12,6)) + CAST(cached_tokens AS DECIMAL(18,0)) * CAST(coalesce(p_cached, p_in) AS DECIMAL(12,6)) + CAST(output_tokens AS DECIMAL(18,0)) * CAST(p_out AS DECIMAL(12,6)) AS DECIMAL(28,6)) * CAST(0.000001 AS DECIMAL(7,6)) AS amount
       FROM usage_rows u JOIN prices p USING (model_no))"""
-Q.add("billing_amount", lambda s, d: _bill(s, d).select("l_orderkey", "l_linenumber", "model_name", F.round("amount", 6).alias("amount")), t.with_views(f"{_PRICED} SELECT l_orderkey, l_linenumber, model_name, round(amount, 6) AS amount FROM bill", "usage_rows"))
+Q.add("billing_amount", lambda s, d: _bill(s, d).select("l_orderkey", "l_linenumber", "model_name", F.round("amount", 6).cast("double").alias("amount")), t.with_views(f"{_PRICED} SELECT l_orderkey, l_linenumber, model_name, CAST(round(amount, 6) AS DOUBLE) AS amount FROM bill", "usage_rows"))
 Q.add(
     "billing_rollup", lambda s, d: metering.rollup(_bill(s, d), "siteid", "model_name", "operation"),
-    t.with_views(f"{_PRICED} SELECT siteid, model_name, operation, count(*) AS calls, round(sum(amount), 4) AS amount, CAST(sum(input_tokens) AS BIGINT) AS input_tokens FROM bill GROUP BY ROLLUP (siteid, model_name, operation)", "usage_rows"),
+    t.with_views(f"{_PRICED} SELECT siteid, model_name, operation, count(*) AS calls, CAST(round(sum(amount), 4) AS DOUBLE) AS amount, CAST(sum(input_tokens) AS BIGINT) AS input_tokens FROM bill GROUP BY ROLLUP (siteid, model_name, operation)", "usage_rows"),
 )

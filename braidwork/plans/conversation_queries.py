@@ -20,10 +20,10 @@ LEADS = ("I will search for ", "please send a message to Dana saying ", "rephras
 
 def _asked(s: SparkSession, d: str) -> DataFrame:
     lead = F.element_at(F.array(*[F.lit(v) for v in LEADS]), (F.col("turn") % 8 + 1).cast("int"))
-    return t.table(s, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 8 == 6, lead).otherwise(F.concat(lead, F.substring("text", 1, 40))).alias("q"))
+    return t.table(s, d, "conversations").select("conv_id", "turn", F.concat(lead, "text").alias("q"))
 
 
-_ASKED = "asked AS (SELECT conv_id, turn, CASE WHEN turn % 8 = 6 THEN l ELSE l || substr(text, 1, 40) END AS q FROM (SELECT *, list_extract([" + ", ".join(f"'{v}'" for v in LEADS) + "], CAST(turn % 8 + 1 AS INTEGER)) AS l FROM conversations))"
+_ASKED = "asked AS (SELECT conv_id, turn, l || text AS q FROM (SELECT *, list_extract([" + ", ".join(f"'{v}'" for v in LEADS) + "], CAST(turn % 8 + 1 AS INTEGER)) AS l FROM conversations))"
 
 
 def _rx(patterns: tuple[str, ...], on: str = "q") -> str:
@@ -55,15 +55,17 @@ Q.add("clean_text", lambda s, d: t.table(s, d, "pages").select("page_id", x.clea
 
 
 def _chatty(s: SparkSession, d: str) -> DataFrame:
-    """Turns, some of them shortened to what says little."""
-    k = F.col("turn") % 6
-    text = F.when(k == 1, F.lit("ok")).when(k == 3, F.lit("123 !!")).when(k == 5, F.concat(F.lit("<b>"), F.substring("text", 1, 30), F.lit("</b> &amp; more"))).otherwise(F.col("text"))
-    return t.table(s, d, "conversations").select("conv_id", "turn", text.alias("message"))
+    """Turns, some of them in markup, and after some of them one that says little."""
+    k, turns = F.col("turn") % 6, t.table(s, d, "conversations")
+    text = F.when(k == 5, F.concat(F.lit("<b>"), "text", F.lit("</b> &amp; more"))).otherwise(F.col("text"))
+    more = turns.where(k.isin(1, 3)).select("conv_id", (F.col("turn") + 1_000_000).alias("turn"), F.when(k == 1, "ok").otherwise("123 !!").alias("message"))
+    return turns.select("conv_id", "turn", text.alias("message")).union(more)
 
 
 Q.add(
     "noise_filter", lambda s, d: c.without_noise(_chatty(s, d)),
-    r"""WITH m AS (SELECT conv_id, turn, CASE turn % 6 WHEN 1 THEN 'ok' WHEN 3 THEN '123 !!' WHEN 5 THEN '<b>' || substr(text, 1, 30) || '</b> &amp; more' ELSE text END AS message FROM conversations),
+    r"""WITH m AS (SELECT conv_id, turn, CASE turn % 6 WHEN 5 THEN '<b>' || text || '</b> &amp; more' ELSE text END AS message FROM conversations
+        UNION ALL SELECT conv_id, turn + 1000000, CASE turn % 6 WHEN 1 THEN 'ok' ELSE '123 !!' END FROM conversations WHERE turn % 6 IN (1, 3)),
       k AS (SELECT conv_id, turn, trim(regexp_replace(regexp_replace(replace(message, '&amp;', '&'), '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS message FROM m)
       SELECT * FROM k WHERE message <> '' AND regexp_matches(message, '[a-zA-ZÀ-ɏ]') AND len(string_split(message, ' ')) >= 2""",
 )
