@@ -168,7 +168,7 @@ def test_queries_equal_their_sql(spark, name):
     base, db = "/root/testdata/sf0.001", duckdb.connect()
     for t in ("documents", "benchmark", "pages"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{base}/{t}.parquet'")
-    want = db.execute(queries.ORACLE[name]).fetch_arrow_table()
+    want = db.execute(queries.ORACLE[name]).to_arrow_table()
     got = queries.QUERIES[name](spark, base)
     assert sorted(want.column_names) == sorted(got.columns)
     columns = sorted(got.columns)
