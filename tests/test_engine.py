@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
 import io
 import json
 import zipfile
@@ -234,8 +235,8 @@ def test_policy(spark):
 
 def test_billing(spark):
     u = spark.createDataFrame([(0, 1_000_000, 0, 0), (3, 1_000_000, 500_000, 1_000_000), (1, 0, 0, 0)], "model_no long, input_tokens long, cached_tokens long, output_tokens long")
-    got = {r["model_no"]: round(r["amount"], 6) for r in metering.billed(u, metering.price_list(spark)).collect()}
-    assert got == {0: 0.15, 3: 12.5, 1: 0.0}
+    got = {r["model_no"]: r["amount"] for r in metering.billed(u, metering.price_list(spark)).collect()}
+    assert got == {0: Decimal("0.15"), 3: Decimal("12.5"), 1: Decimal(0)}  # exact: amounts are decimals
 
 
 def test_store_stream_and_backfill(spark, chats, tmp_path):
