@@ -1,4 +1,9 @@
-"""From raw documents to packed bins: five stages, each written as Parquet and read again by the next."""
+"""From raw documents to packed bins: five stages, each written as Parquet and read again by the next.
+
+Defined results: null and empty texts go in the first stage, as they have fewer than 20 words; repeated rows and near
+duplicates leave one row a group, rows with one doc_id and different texts all stay; empty tables give no bins; further
+columns, whatever their names, are kept by all stages but the last.
+"""
 
 from __future__ import annotations
 
@@ -32,7 +37,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pseudonymise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data gets keyed pseudonyms; n_chars follows the new text."""
-    done = pii.pseudonymised(docs, KEY).drop("n_found")
+    done = pii.pseudonymised(docs, KEY).select(*[F.col(f"`{c}`") for c in docs.columns])
     return done.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else done
 
 
