@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from braidwork.functions.text import clean_message, is_noise, token_estimate
 
@@ -40,6 +42,21 @@ def cumulative_tokens(rows: DataFrame, partition: str, tokens: Column, *order: s
     return rows.withColumn("tokens", tokens).withColumn("cumulative", F.sum("tokens").over(w))
 
 
+def _cut(tokens: list[int], strength: list[int], share: float, target: int) -> int:
+    """How many of the next messages make a batch; the last one given is there for the boundary before it only."""
+    cuts, total = [], 0
+    for i in range(len(tokens) - 1):
+        total += tokens[i]
+        if total > target:
+            break
+        cuts.append((i + 1, total))
+    for low, high in ((share * (1 - TOLERANCE), min(target, share * (1 + TOLERANCE))), (share * LEAST_SHARE, target)):
+        near = [c for c in cuts if low <= c[1] <= high]
+        if near:
+            return max(near, key=lambda c: (strength[c[0]], -abs(c[1] - share), -c[0]))[0]
+    return cuts[-1][0] if cuts else 1
+
+
 def split_batches(tokens: list[int], strength: list[int], target: int) -> list[int]:
     """Batch number of each message. A batch holds at most ``target`` tokens, unless one message is larger.
 
@@ -47,42 +64,55 @@ def split_batches(tokens: list[int], strength: list[int], target: int) -> list[i
     one at the strongest boundary wins, then the nearest, then the first."""
     out, start, batch, left = [0] * len(tokens), 0, 0, sum(tokens)
     while start < len(tokens):
-        if left <= target:
-            end = len(tokens)
-        else:
-            share = left / math.ceil(left / target)
-            cuts, total = [], 0
-            for i in range(start, len(tokens) - 1):
-                total += tokens[i]
-                if total > target:
-                    break
-                cuts.append((i + 1, total))
-            best = None
-            for low, high in ((share * (1 - TOLERANCE), min(target, share * (1 + TOLERANCE))), (share * LEAST_SHARE, target)):
-                near = [c for c in cuts if low <= c[1] <= high]
-                if near:
-                    best = max(near, key=lambda c: (strength[c[0]], -abs(c[1] - share), -c[0]))
-                    break
-            end = best[0] if best else cuts[-1][0] if cuts else start + 1
-        for i in range(start, end):
-            out[i] = batch
+        end = len(tokens) if left <= target else start + _cut(tokens[start:], strength[start:], left / math.ceil(left / target), target)
+        out[start:end] = [batch] * (end - start)
         left -= sum(tokens[start:end])
         start, batch = end, batch + 1
     return out
 
 
-def time_aligned_batches(rows: DataFrame, conversation: str, at: str, tokens: str, target: int, *ties: str) -> DataFrame:
-    """Adds batch to (conversation, time, tokens, ties). A request's conversation is bounded (10,000 messages)."""
-    ready = boundary_strength(rows.select(conversation, at, tokens, *ties), conversation, at, *ties)
-    known = F.min(F.col(at).isNotNull().cast("int")).over(Window.partitionBy(conversation))
-    ready = ready.withColumn("_known", known)
+def _batches_in_order(frames: Iterator[pa.RecordBatch], tokens: str, target: int) -> Iterator[pa.RecordBatch]:
+    """``split_batches`` of conversations that come one after the other: holds back no more rows than one cut looks at."""
+    held, batch, left, rest = None, 0, 0, 0
+    for frame in frames:
+        held = pa.Table.from_batches([frame]) if held is None else pa.concat_tables([held, pa.Table.from_batches([frame])])
+        size, strength, total, rows = (held.column(c).to_pylist() for c in (tokens, "strength", "_total", "_rows"))
+        out: list[int] = []
+        while len(out) < len(size):
+            at = len(out)
+            if not rest:
+                batch, left, rest = 0, total[at], rows[at]
+            if left <= target:
+                n, last = min(rest, len(size) - at), True
+            else:
+                end, ahead = at, 0
+                while end < min(at + rest, len(size)) and ahead <= target:
+                    ahead, end = ahead + size[end], end + 1
+                if ahead <= target and end < at + rest:
+                    break
+                n, last = _cut(size[at:end], strength[at:end], left / math.ceil(left / target), target), False
+            out += [batch] * n
+            left, rest = left - sum(size[at : at + n]), rest - n
+            batch += not last
+        done = held.slice(0, len(out)).append_column("batch", pa.array(out, pa.int32())).drop_columns(["_total", "_rows", "_at"])
+        yield from done.combine_chunks().to_batches()
+        held = held.slice(len(out)).combine_chunks()
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(([at] if group["_known"].iloc[0] else []) + list(ties), kind="stable")
-        return group.drop(columns=["_known"]).assign(batch=split_batches(group[tokens].tolist(), group["strength"].tolist(), target))
 
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ready.schema.fields if f.name != "_known")
-    return ready.groupBy(conversation).applyInPandas(one, f"{fields}, batch int")
+def time_aligned_batches(rows: DataFrame, conversation: str, at: str, tokens: str, target: int, *ties: str) -> DataFrame:
+    """Adds strength and batch to (conversation, time, tokens, ties).
+
+    A conversation is walked in order, as each cut depends on the one before; a task holds the rows of about
+    ``target`` tokens and no whole conversation, however long. Where a time is unknown, the ties alone give the order;
+    null tokens count as none."""
+    whole = Window.partitionBy(conversation)
+    sized = rows.select(conversation, at, F.coalesce(tokens, F.lit(0)).cast("long").alias(tokens), *ties)
+    ready = boundary_strength(sized, conversation, at, *ties).withColumns(
+        {"_at": F.when(F.min(F.col(at).isNotNull()).over(whole), F.col(at)), "_total": F.sum(tokens).over(whole), "_rows": F.count("*").over(whole)}
+    )
+    schema = T.StructType([*[f for f in ready.schema if f.name not in ("_at", "_total", "_rows")], T.StructField("batch", T.IntegerType())])
+    in_order = ready.repartition(conversation).sortWithinPartitions(conversation, "_at", *ties)
+    return in_order.mapInArrow(lambda frames: _batches_in_order(frames, tokens, target), schema)
 
 
 def pack_adjacent(sizes: list[int], limit: int) -> list[int]:
@@ -96,13 +126,28 @@ def pack_adjacent(sizes: list[int], limit: int) -> list[int]:
     return out
 
 
-def adjacent_groups(rows: DataFrame, partition: str, order: str, size: str, limit: int) -> DataFrame:
-    """Adds pack by folding the sizes of a partition in order."""
-    folded = rows.groupBy(partition).agg(F.sort_array(F.collect_list(F.struct(order, size))).alias("r"))
-    step = lambda a, x: F.when((a["n"] > 0) & (a["total"] + x[size] > limit), F.struct((a["pack"] + 1).alias("pack"), x[size].cast("long").alias("total"), F.lit(1).alias("n"), F.concat(a["out"], F.array(F.struct(x[order].alias(order), x[size].alias(size), (a["pack"] + 1).alias("pack")))).alias("out"))).otherwise(F.struct(a["pack"].alias("pack"), (a["total"] + x[size]).cast("long").alias("total"), (a["n"] + 1).alias("n"), F.concat(a["out"], F.array(F.struct(x[order].alias(order), x[size].alias(size), a["pack"].alias("pack")))).alias("out")))
-    kind = f"array<struct<{order}:{rows.schema[order].dataType.simpleString()},{size}:{rows.schema[size].dataType.simpleString()},pack:int>>"
-    zero = F.struct(F.lit(0).alias("pack"), F.lit(0).cast("long").alias("total"), F.lit(0).alias("n"), F.array().cast(kind).alias("out"))
-    return folded.select(partition, F.inline(F.aggregate("r", zero, step, lambda a: a["out"])))
+def _packs_in_order(frames: Iterator[pa.RecordBatch], size: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """``pack_adjacent`` of partitions that come one after the other; only the open pack's sum is kept."""
+    group, total, n = 0, 0, 0
+    for frame in frames:
+        out = []
+        for first, s in zip(frame.column("_first").to_pylist(), frame.column(size).to_pylist()):
+            if first:
+                group, total, n = 0, 0, 0
+            if n and total + (s or 0) > limit:
+                group, total, n = group + 1, 0, 0
+            out.append(group)
+            total, n = total + (s or 0), n + 1
+        yield frame.append_column("pack", pa.array(out, pa.int32())).drop_columns(["_first"])
+
+
+def adjacent_groups(rows: DataFrame, partition: str, order: str, size: str, limit: int, *more: str) -> DataFrame:
+    """(partition, order, size, more, pack): packs of a partition's rows in order. No partition is held as a whole; a null size counts as 0."""
+    w = Window.partitionBy(partition).orderBy(order, size)
+    ready = rows.select(partition, order, size, *more, (F.row_number().over(w) == 1).alias("_first"))
+    schema = T.StructType([*[f for f in ready.schema if f.name != "_first"], T.StructField("pack", T.IntegerType())])
+    in_order = ready.repartition(partition).sortWithinPartitions(partition, order, F.desc("_first"), size)
+    return in_order.mapInArrow(lambda frames: _packs_in_order(frames, size, limit), schema)
 
 
 def latest_by_interval(summaries: DataFrame, ref: str = "ref_id") -> DataFrame:
@@ -167,7 +212,8 @@ def map_reduce(batches: DataFrame, conversation: str, text: str, summarise: Call
     """(conversation, summary, unavailable): a summary of each batch, adjacent ones merged until one is left or the rounds end.
 
     ``batches`` has conversation, batch and text, each batch within the limit. A batch that fails all attempts is
-    unavailable; a conversation of such batches only has a null summary."""
+    unavailable; a conversation of such batches only has a null summary. A round is a shuffle, so only texts that
+    are merged meet in a task; what the last round leaves is joined to one summary."""
 
     def call(t: str) -> str | None:
         for _ in range(attempts):
@@ -177,27 +223,29 @@ def map_reduce(batches: DataFrame, conversation: str, text: str, summarise: Call
                 continue
         return None
 
-    def condense(frames):  # noqa: ANN001, ANN202
+    def condense(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             yield f.assign(**{text: [call(t) for t in f[text]]})
 
+    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            merged = [t if n < 2 else UNAVAILABLE if (r := call(t)) is None else r for t, n in zip(f[text], f["n"])]
+            yield f.assign(**{text: merged}).drop(columns="n")
+
     kind = f"{conversation} {batches.schema[conversation].dataType.simpleString()}"
     now = batches.select(conversation, "batch", text).mapInPandas(condense, f"{kind}, batch int, {text} string")
-    lost = F.sum(F.col(text).isNull().cast("int")).over(Window.partitionBy(conversation))
+    lost = F.sum(F.col(text).isNull().cast("int")).over(Window.partitionBy(conversation)).cast("int")
+    # The first batch stays even if it has no summary: of size 0 it changes no pack, and keeps its conversation.
     now = now.withColumn("unavailable", lost).where(F.col(text).isNotNull() | (F.col("batch") == 0))
-
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("batch")
-        texts = [t for t in group[text] if t is not None]
-        for _ in range(rounds):
-            if len(texts) <= 1:
-                break
-            packs = pack_adjacent([math.ceil(len(t) / 4) for t in texts], limit)
-            parts = [[t for t, g in zip(texts, packs) if g == k] for k in range(packs[-1] + 1)]
-            texts = [r if r is not None else UNAVAILABLE for r in (call("\n".join(p)) if len(p) > 1 else p[0] for p in parts)]
-        return pd.DataFrame({conversation: [group[conversation].iloc[0]], "summary": ["\n".join(texts) if texts else None], "unavailable": [int(group["unavailable"].iloc[0])]})
-
-    return now.groupBy(conversation).applyInPandas(merge, f"{kind}, summary string, unavailable int")
+    in_order = F.transform(F.sort_array(F.collect_list(F.when(F.col(text).isNotNull(), F.struct("batch", text)))), lambda b: b[text])
+    for _ in range(rounds):
+        sized = now.withColumn("_size", F.coalesce(F.ceil(F.length(text) / 4), F.lit(0)))
+        packs = adjacent_groups(sized, conversation, "batch", "_size", limit, text, "unavailable").groupBy(conversation, "pack")
+        parts = packs.agg(in_order.alias("t"), F.max("unavailable").alias("unavailable"))
+        joined = F.when(F.size("t") > 0, F.array_join("t", "\n"))
+        now = parts.select(conversation, F.col("pack").alias("batch"), joined.alias(text), "unavailable", F.size("t").alias("n")).mapInPandas(merge, f"{kind}, batch int, {text} string, unavailable int")
+    whole = now.groupBy(conversation).agg(in_order.alias("t"), F.max("unavailable").alias("unavailable"))
+    return whole.select(conversation, F.when(F.size("t") > 0, F.array_join("t", "\n")).alias("summary"), "unavailable")
 
 
 def counted(rows: DataFrame, message: str = "message") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import random
 import zipfile
 from datetime import datetime, timedelta
 from decimal import Decimal
@@ -190,6 +191,60 @@ def test_map_reduce(spark):
     assert got == {1: ("AA BB\nCC DD", 1), 2: (None, 1)}
 
 
+def plain_map_reduce(texts, model, limit, rounds=4):
+    """Of one conversation, as a loop over its texts in order."""
+    done = []
+    for v in texts:
+        try:
+            done.append(model(v))
+        except RuntimeError:
+            pass
+    for _ in range(rounds):
+        if len(done) <= 1:
+            break
+        packs = conversation.pack_adjacent([-(-len(v) // 4) for v in done], limit)
+        groups = [[v for v, g in zip(done, packs) if g == k] for k in range(packs[-1] + 1)]
+        done = [model("\n".join(g)) if len(g) > 1 else g[0] for g in groups]
+    return ("\n".join(done) if done else None, len(texts) - sum("fail" not in v for v in texts))
+
+
+def test_map_reduce_rounds_equal_a_plain_loop(spark):
+    rng = random.Random(3)
+    talks = {c: ["fail" if rng.random() < 0.2 else " ".join(rng.choice("abcdef") * 3 for _ in range(rng.randint(1, 30))) for _ in range(n)] for c, n in enumerate((1, 2, 7, 40, 3))}
+
+    def model(v):
+        if "fail" in v:
+            raise RuntimeError
+        return v[: max(4, len(v) * 2 // 3)]
+
+    rows = spark.createDataFrame([(c, b, v) for c, vs in talks.items() for b, v in enumerate(vs)], "c long, batch int, text string")
+    got = {r["c"]: (r["summary"], r["unavailable"]) for r in conversation.map_reduce(rows, "c", "text", model, 30).collect()}
+    assert got == {c: plain_map_reduce(vs, model, 30) for c, vs in talks.items()}
+
+
+def test_walks_equal_the_plain_versions(spark):
+    """Frames of three rows, so that cuts and packs cross them; one conversation has most rows, one has null times."""
+    rng = random.Random(5)
+    sizes = {1: 150, 2: 1, 3: 12, None: 20, 5: 17}
+    rows = [(c, i, T0 + timedelta(minutes=rng.choice((1, 40, 900)) * i) if c != 5 or i % 4 else None, rng.choice((1, 2, 5, 9, 30))) for c, n in sizes.items() for i in range(n)]
+    frame = spark.createDataFrame(rows, "c long, i long, t timestamp_ntz, k long").repartition(3)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        batches = conversation.time_aligned_batches(frame, "c", "t", "k", 25, "i").collect()
+        packs = conversation.adjacent_groups(frame, "c", "i", "k", 20).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert len(batches) == len(packs) == len(rows)
+    for c in sizes:
+        own = sorted((r for r in batches if r["c"] == c), key=lambda r: (r["i"] if c == 5 else 0, r["t"] or T0, r["i"]))
+        assert [r["batch"] for r in own] == conversation.split_batches([r["k"] for r in own], [r["strength"] for r in own], 25)
+        own = sorted((r for r in packs if r["c"] == c), key=lambda r: r["i"])
+        assert [r["pack"] for r in own] == conversation.pack_adjacent([r["k"] for r in own], 20)
+    empty = frame.where("false")
+    assert conversation.time_aligned_batches(empty, "c", "t", "k", 25, "i").count() == conversation.adjacent_groups(empty, "c", "i", "k", 20).count() == 0
+
+
 def xlsx(sheet, merges=""):
     out = io.BytesIO()
     ns = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
