@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.operators import chat, metering
+from braidwork.sources import changes
 from braidwork.sources import tables as t
+from braidwork.streaming import indexing
 
 from .registry import Registry
 
@@ -61,21 +64,34 @@ _MAPPED = """, docs AS (SELECT siteid AS site_id, sid, smsgid AS message_id, arc
 Q.add("message_map", lambda s, d: chat.search_messages(_feed(s, d)), t.with_views(f"{_FEED}{_MAPPED} SELECT * FROM docs", "messages", "streams"))
 
 
-def _upserted(s: SparkSession, d: str) -> DataFrame:
+def _changed(s: SparkSession, d: str, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The documents of a log with one further write."""
     docs = chat.search_messages(_feed(s, d))
-    old, new = docs.where("message_id % 3 <> 0"), docs.where("message_id % 2 = 0").withColumn("text", F.concat(F.lit("v2 "), "text"))
-    return old.join(new, "message_id", "left_anti").unionByName(new).select("message_id", "text")
+    return changes.current(changes.together(changes.upserts(docs, 1), change(docs)), "message_id")
 
 
-Q.add("upsert_by_key", _upserted, t.with_views(f"{_FEED}{_MAPPED} SELECT message_id, CASE WHEN message_id % 2 = 0 THEN 'v2 ' || text ELSE text END AS text FROM docs WHERE message_id % 3 <> 0 OR message_id % 2 = 0", "messages", "streams"))
 Q.add(
-    "delete_by_id", lambda s, d: (x := chat.search_messages(_feed(s, d))).join(x.where("message_id % 5 = 0").select("message_id"), "message_id", "left_anti").select("message_id"),
-    t.with_views(f"{_FEED}{_MAPPED} SELECT message_id FROM docs WHERE message_id % 5 <> 0", "messages", "streams"),
+    "upsert_by_key", lambda s, d: _changed(s, d, lambda docs: changes.upserts(docs.where("is_edited").withColumn("text", F.concat(F.lit("v2 "), "text")), 2)).select("message_id", "text"),
+    t.with_views(f"{_FEED}{_MAPPED} SELECT message_id, CASE WHEN is_edited THEN 'v2 ' || text ELSE text END AS text FROM docs", "messages", "streams"),
 )
 Q.add(
-    "delete_by_sid", lambda s, d: chat.search_messages(_feed(s, d)).where(~((F.col("site_id") == 1) & (F.col("sid") == 6))).select("site_id", "sid", "message_id"),
-    t.with_views(f"{_FEED}{_MAPPED} SELECT site_id, sid, message_id FROM docs WHERE NOT (site_id = 1 AND sid = 6)", "messages", "streams"),
+    "delete_by_id", lambda s, d: _changed(s, d, lambda docs: changes.deletes(docs.where("is_thread_reply").select("message_id"), 2)).select("message_id"),
+    t.with_views(f"{_FEED}{_MAPPED} SELECT message_id FROM docs WHERE NOT is_thread_reply", "messages", "streams"),
 )
+Q.add(
+    "delete_by_sid", lambda s, d: _changed(s, d, lambda docs: changes.stream_deletes(docs.where("site_id = 1 and channel_type = 'private_channel'"), 2)).select("site_id", "sid", "message_id"),
+    t.with_views(f"{_FEED}{_MAPPED} SELECT site_id, sid, message_id FROM docs WHERE NOT (site_id = 1 AND coalesce(channel_type, '') = 'private_channel')", "messages", "streams"),
+)
+Q.add(
+    "embed_batch", lambda s, d: indexing.embedded(chat.search_messages(_feed(s, d)).select("message_id", "text"), _stand_in, "v1").select("message_id", F.col("embedding")[0].alias("length"), F.col("embedding")[1].alias("spaces"), "embedding_version"),
+    t.with_views(f"{_FEED}{_MAPPED} SELECT message_id, CAST(length(text) AS DOUBLE) AS length, CAST(length(text) - length(replace(text, ' ', '')) AS DOUBLE) AS spaces, 'v1' AS embedding_version FROM docs", "messages", "streams"),
+)
+
+
+def _stand_in(texts: list[str]) -> list[list[float]]:
+    """In place of a model."""
+    return [[float(len(v)), float(v.count(" "))] for v in texts]
+
 
 _bill = lambda s, d: metering.billed(t.usage(s, d), metering.price_list(s))
 _PRICED = """, prices AS (SELECT * FROM (VALUES (0, 1, 'gpt-4o-mini', 0.150, 0.075, 0.600), (1, 5, 'gpt-4.1', 2.00, 0.50, 8.00), (2, 6, 'gpt-4.1-mini', 0.400, 0.100, 1.600), (3, 2, 'gpt-4o', 2.50, NULL, 10.00)) v(model_no, model_id, model_name, p_in, p_cached, p_out)),

@@ -2,56 +2,73 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from braidwork.operators.chat import index_feed, keyset_page, search_messages
-from braidwork.sources.index_store import IndexStore
+from braidwork.operators.chat import index_feed, search_messages
+from braidwork.sources import changes
 
 Source = Callable[[], tuple[DataFrame, DataFrame]]
 
 
-def apply_events(events: DataFrame, store: IndexStore, source: Source) -> None:
-    """Events (message_id, action). Rows that are gone, deleted or of another type are not indexed; deletes delete."""
+def event_changes(events: DataFrame, messages: DataFrame, streams: DataFrame, version: int) -> DataFrame:
+    """Changes for events (message_id, action). Rows that are gone, deleted or of another type are not indexed; deletes delete."""
     ids = events.select("message_id", "action").distinct()
-    messages, streams = source()
-    wanted = ids.where("action = 'upsert'").select("message_id").distinct()
+    wanted = ids.where("action = 'upsert'").select("message_id")
     rows = search_messages(index_feed(messages, streams)).join(wanted, "message_id", "left_semi")
-    store.upsert(rows)
-    store.delete(ids.where("action = 'delete'").select("message_id"))
+    return changes.together(changes.upserts(rows, version), changes.deletes(ids.where("action = 'delete'").select("message_id"), version))
 
 
-def index_stream(events: DataFrame, store: IndexStore, source: Source, checkpoint: str) -> StreamingQuery:
-    """A streaming query over a stream of events. Batches are idempotent, so a replay after a failure is safe."""
-    return events.writeStream.foreachBatch(lambda batch, _: apply_events(batch, store, source)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def index_stream(events: DataFrame, path: str, source: Source, checkpoint: str) -> StreamingQuery:
+    """A streaming query from events to the log at ``path``. A batch that is run again replaces its own folder."""
 
+    def write(batch: DataFrame, number: int) -> None:
+        messages, streams = source()
+        changes.append(event_changes(batch, messages, streams, changes.version_now()), path, f"stream-{number}")
 
-def reindex_stream(messages: DataFrame, streams: DataFrame, store: IndexStore, site_id: int, sid: int) -> int:
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def reindex_stream(messages: DataFrame, streams: DataFrame, path: str, site_id: int, sid: int) -> None:
     """All of a stream's rows anew, so channel types are fresh and deleted rows go."""
-    store.delete_stream(site_id, sid)
-    return store.upsert(search_messages(index_feed(messages, streams, site_id, [sid])))
-
-
-def backfill(messages: DataFrame, streams: DataFrame, store: IndexStore, job: str, since: tuple[object, int], batch: int = 500) -> int:
-    """Keyset batches with a checkpoint after each; a checkpoint wins over ``since``. Returns rows indexed."""
-    from datetime import datetime
-
-    state = store.get_state(f"job-{job}")
-    at = (datetime.fromisoformat(state["at"]), state["key"]) if state else since  # type: ignore[arg-type]
-    feed, total = index_feed(messages, streams), 0
-    while True:
-        page = keyset_page(feed, at, batch)  # type: ignore[arg-type]
-        last = page.agg(F.max(F.struct("messagetime", "smsgid")).alias("last"), F.count("*").alias("n")).first()
-        if last["n"]:
-            total += store.upsert(search_messages(page))
-            at = (last["last"]["messagetime"], last["last"]["smsgid"])
-            store.put_state(f"job-{job}", {"at": at[0].isoformat(), "key": at[1]})
-        if last["n"] < batch:
-            store.clear_state(f"job-{job}")
-            return total
+    now = changes.version_now()
+    one = messages.sparkSession.range(1).select(F.lit(site_id).cast("long").alias("site_id"), F.lit(sid).cast("long").alias("sid"))
+    rows = search_messages(index_feed(messages, streams, site_id, [sid]))
+    changes.append(changes.together(changes.upserts(rows, now), changes.stream_deletes(one, now)), path, f"stream-of-{site_id}-{sid}-{now}")
+
+
+def backfill(messages: DataFrame, streams: DataFrame, path: str, job: str, since: tuple[object, int] | None = None, version: int | None = None) -> dict[str, int]:
+    """All rows after ``since`` (time, key) in one partitioned scan and one write; counts of rows fetched and indexed.
+
+    A job that failed leaves no committed folder and is run again; one that is repeated replaces its folder."""
+    feed = index_feed(messages, streams)
+    if since is not None:
+        at, key = F.lit(since[0]).cast("timestamp_ntz"), since[1]
+        feed = feed.where((F.col("messagetime") > at) | ((F.col("messagetime") == at) & (F.col("smsgid") > key)))
+    fetched, indexed = Observation(), Observation()
+    rows = search_messages(feed.observe(fetched, F.count(F.lit(1)).alias("n"))).where("message_id is not null")
+    written = changes.upserts(rows, changes.version_now() if version is None else version).observe(indexed, F.count(F.lit(1)).alias("n"))
+    changes.append(written, path, f"job-{job}")
+    return {"fetched": fetched.get["n"], "indexed": indexed.get["n"]}
+
+
+def embedded(docs: DataFrame, model: Callable[[list[str]], list[list[float]]], version: str, *, text: str = "text", size: int = 64) -> DataFrame:
+    """Adds embedding and embedding_version. ``model`` gets at most ``size`` texts at once; a null text has a null vector."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for k in range(0, len(f), size):
+                part = f.iloc[k : k + size]
+                known = part[text].notna()
+                vectors = iter(model(part.loc[known, text].tolist()) if known.any() else [])
+                yield part.assign(embedding=[next(vectors) if has else None for has in known])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInPandas(run, f"{fields}, embedding array<double>").withColumn("embedding_version", F.when(F.col("embedding").isNotNull(), F.lit(version)))
 
 
 def windowed(events: DataFrame, late: str = "10 minutes", size: str = "1 hour", slide: str | None = None) -> DataFrame:

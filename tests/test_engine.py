@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from braidwork.functions import text as x
 from braidwork.functions import times
 from braidwork.operators import chat, conversation, extraction, metering, search
-from braidwork.sources.index_store import IndexStore, index_of
+from braidwork.sources import changes
+from braidwork.sources.changes import index_of
 from braidwork.streaming import indexing
 
 T0 = datetime(2024, 1, 31, 10)
@@ -294,26 +295,44 @@ def test_billing(spark):
     assert got == {0: Decimal("0.15"), 3: Decimal("12.5"), 1: Decimal(0)}  # exact: amounts are decimals
 
 
-def test_store_stream_and_backfill(spark, chats, tmp_path):
+def test_log_stream_and_backfill(spark, chats, tmp_path):
     m, s, _ = chats
-    store = IndexStore(spark, str(tmp_path / "store"), parts=3)
-    assert store.read() is None and store.delete(spark.createDataFrame([(1,)], "message_id long")) == 0
-    total = indexing.backfill(m, s, store, "job", (T0 - timedelta(days=1), 0), batch=2)
-    assert total == 8 == store.read().count() and store.get_state("job-job") == {}
-    assert indexing.backfill(m, s, store, "job", (T0 - timedelta(days=1), 0), batch=3) == 8 and store.read().count() == 8
-    assert store.delete_stream(1, 2) == 1 and ids(store.read(), "message_id") == [1, 2, 3, 4, 5, 12, 15]
+    path = str(tmp_path / "log")
+    now = lambda: ids(changes.current(changes.read_log(spark, path), "message_id"), "message_id")
+    assert changes.read_log(spark, path) is None
+    for _ in range(2):  # a repeated job replaces its folder
+        assert indexing.backfill(m, s, path, "job") == {"fetched": 8, "indexed": 8} and now() == [1, 2, 3, 4, 5, 12, 13, 15]
+    assert indexing.backfill(m, s, str(tmp_path / "part"), "job", (T0, 1))["fetched"] == 7
+    t = changes.version_now()
+    changes.append(changes.stream_deletes(spark.createDataFrame([(1, 2)], "site_id long, sid long"), t), path, "gone")
+    assert now() == [1, 2, 3, 4, 5, 12, 15]
     events = tmp_path / "events"
-    spark.createDataFrame([(1, "delete"), (13, "upsert"), (11, "upsert"), (99, "upsert")], "message_id long, action string").write.parquet(str(events))
-    stream = lambda: indexing.index_stream(spark.readStream.schema("message_id long, action string").parquet(str(events)), store, lambda: (m, s), str(tmp_path / "cp"))
+    spark.createDataFrame([(1, "delete"), (13, "upsert"), (11, "upsert"), (99, "upsert"), (5, "upsert"), (5, "delete")], "message_id long, action string").write.parquet(str(events))
+    stream = lambda: indexing.index_stream(spark.readStream.schema("message_id long, action string").parquet(str(events)), path, lambda: (m, s), str(tmp_path / "cp"))
     for _ in range(2):  # a restart finds nothing new
         stream().awaitTermination(120)
-        assert ids(store.read(), "message_id") == [2, 3, 4, 5, 12, 13, 15]
-    indexing.reindex_stream(m.where("smsgid <> 2"), s, store, 1, 1)
-    assert ids(store.read(), "message_id") == [1, 3, 4, 5, 12, 13, 15]
+        assert now() == [2, 3, 4, 12, 13, 15]
+    indexing.reindex_stream(m.where("smsgid <> 2"), s, path, 1, 1)
+    assert now() == [1, 3, 4, 5, 12, 13, 15]
+    changes.compact(spark, path, str(tmp_path / "new"), "message_id")
+    assert ids(changes.current(changes.read_log(spark, str(tmp_path / "new")), "message_id"), "message_id") == now()
     with pytest.raises(ValueError):
         index_of("mail")
 
 
+def test_embedded(spark):
+    docs = spark.createDataFrame([(i, "a" * i if i else None) for i in range(7)], "id long, text string").coalesce(1)
+    seen = spark.sparkContext.accumulator(0)
+
+    def model(texts):
+        assert 0 < len(texts) <= 3
+        seen.add(1)
+        return [[float(len(v))] for v in texts]
+
+    got = {r["id"]: (r["embedding"], r["embedding_version"]) for r in indexing.embedded(docs, model, "v1", size=3).collect()}
+    assert got == {0: (None, None)} | {i: ([float(i)], "v1") for i in range(1, 7)} and seen.value == 3
+
+
 def test_late_events(spark):
     rows = [(T0, "a", 1, 1.0), (T0 + timedelta(minutes=59), "a", 1, 2.0), (T0 + timedelta(hours=1), "a", 1, 4.0)]
     e = spark.createDataFrame(rows, "ts timestamp, event_type string, user_id long, value double")
