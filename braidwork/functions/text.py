@@ -77,6 +77,29 @@ def message_text(text: Column) -> Column:
     return F.coalesce(*[F.when(collapsed_ends(g) != "", g) for g in got], text)
 
 
+def attachments(text: Column) -> Column:
+    """Array of (link, item as JSON) of a JSON message: its items, those of ``msg``, or itself, if they are objects with
+    a link; a file id stands in for a blank link. Anything else, null too, has none."""
+    v = lenient_json(text)
+    whole = F.try_variant_get(v, "$", "variant")
+    many = F.coalesce(F.try_variant_get(v, "$", "array<variant>"), F.try_variant_get(v, "$.msg", "array<variant>"))
+    msg = F.try_variant_get(v, "$.msg", "variant")
+    items = F.coalesce(many, F.array(F.when(_is_object(msg), msg).otherwise(whole)))
+    of = lambda i, k: F.nullif(F.try_variant_get(i, f"$.{k}", "string"), F.lit(""))
+    link = lambda i: F.coalesce(of(i, "link"), of(i, "fileid"), of(i, "fileId"))
+    found = F.transform(F.filter(items, lambda i: F.coalesce(_is_object(i), F.lit(False))), lambda i: F.struct(link(i).alias("link"), F.to_json(i).alias("item")))
+    return F.coalesce(F.filter(found, lambda x: x["link"].isNotNull()), F.array().cast("array<struct<link:string,item:string>>"))
+
+
+def _is_object(v: Column) -> Column:
+    return F.schema_of_variant(v).startswith("OBJECT")
+
+
+def document_id(content_hash: Column, file_id: Column) -> Column:
+    """By content where its hash is known, else by file."""
+    return F.concat(F.lit("document:"), F.coalesce(content_hash, file_id.cast("string")))
+
+
 def display_name(first: Column, last: Column, username: Column) -> Column:
     full = F.trim(F.concat_ws(" ", F.coalesce(first, F.lit("")), F.coalesce(last, F.lit(""))))
     tail = F.substring_index(F.substring_index(username, "[V]", -1), "_", -1)

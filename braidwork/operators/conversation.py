@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 import pyarrow as pa
@@ -180,6 +182,60 @@ def coverage_gaps(intervals: DataFrame, window_start: Column, window_end: Column
     return inner.union(tail).where("gap_start <= gap_end")
 
 
+def uncovered(messages: DataFrame, gaps: DataFrame, ref: str, at: str) -> DataFrame:
+    """Messages within a gap (ref, gap_start, gap_end) of their ref, the delta that a stored summary lacks.
+
+    Gaps don't overlap, so the last one that has begun decides: one union and one window, no range join."""
+    begins = gaps.select(F.col("ref_id").alias("_ref"), F.col("gap_start").alias("_at"), F.col("gap_end").alias("_end"))
+    rows = messages.select(F.struct(*messages.columns).alias("_m"), F.col(ref).alias("_ref"), F.col(at).alias("_at"))
+    w = Window.partitionBy("_ref").orderBy("_at", F.col("_m").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = rows.unionByName(begins, allowMissingColumns=True).withColumn("_end", F.last("_end", ignorenulls=True).over(w))
+    return both.where(F.col("_m").isNotNull() & (F.col("_at") <= F.col("_end"))).select("_m.*")
+
+
+def extended(summaries: DataFrame, messages: DataFrame, window_start: Column, window_end: Column, ref: str, at: str) -> DataFrame:
+    """(ref_id, id, start_date, end_date, n, added): the latest stored summary of each ref, moved to the window's end by
+    what its gaps hold. ``added`` counts those messages; where there are none the summary stays as it is.
+
+    Summaries have id, ref_id, start_date, end_date and n (messages)."""
+    inside = summaries.where((F.col("start_date") <= window_end) & (F.col("end_date") >= window_start))
+    delta = uncovered(messages, coverage_gaps(inside, window_start, window_end), ref, at).groupBy(F.col(ref).alias("ref_id")).agg(F.count("*").alias("added"))
+    latest = inside.groupBy("ref_id").agg(F.max_by(F.struct("id", "start_date", "end_date", "n"), F.struct("end_date", "id")).alias("s"))
+    added = F.coalesce("added", F.lit(0).cast("long"))
+    end = F.when(added > 0, F.greatest("s.end_date", window_end)).otherwise(F.col("s.end_date"))
+    return latest.join(delta, "ref_id", "left").select("ref_id", "s.id", "s.start_date", end.alias("end_date"), (F.col("s.n") + added).alias("n"), added.alias("added"))
+
+
+#: Of a payload, what is not shown to a model.
+INTERNAL = ("start", "end", "extra_data", "condensed", "unavailable")
+#: Limits of a request.
+MAX_DAYS, MAX_MESSAGES = 93, 10_000
+
+
+def payload(segments: DataFrame) -> DataFrame:
+    return segments.drop(*INTERNAL)
+
+
+def has_chats(segments: DataFrame, key: str = "ref_id") -> DataFrame:
+    """(key, has_chats): whether a segment of chats (type, n) has a message; null counts are none."""
+    return segments.groupBy(key).agg(F.max(F.coalesce((F.col("type") == "chats") & (F.col("n") > 0), F.lit(False))).alias("has_chats"))
+
+
+def storable(*special: Column) -> Column:
+    """Whether a request's summary is kept: none of topic, buddy, context, unread and count is asked for (null, empty, 0 or false)."""
+    asked = [~F.coalesce(c.cast("string"), F.lit("")).isin("", "0", "false") for c in special]
+    return ~reduce(or_, asked, F.lit(False))
+
+
+def request_error(start: Column, end: Column, n_messages: Column) -> Column:
+    """Why a request is refused; null if it isn't."""
+    return (
+        F.when(start > end, "start after end")
+        .when(F.timestamp_diff("SECOND", start, end) > MAX_DAYS * 86_400, f"more than {MAX_DAYS} days")
+        .when(n_messages > MAX_MESSAGES, f"more than {MAX_MESSAGES} messages")
+    )
+
+
 def segments(summaries: DataFrame, chats: DataFrame) -> DataFrame:
     """Both kinds (ref_id, start, n, text) in order of start, with their type."""
     return summaries.withColumn("type", F.lit("summary")).unionByName(chats.withColumn("type", F.lit("chats"))).orderBy("ref_id", "start", "type")

@@ -9,6 +9,7 @@ from braidwork.functions import patterns as P
 from braidwork.functions import text as x
 from braidwork.functions import times
 from braidwork.operators import conversation as c
+from braidwork.sources import changes
 from braidwork.sources import tables as t
 
 from .registry import Registry
@@ -82,6 +83,23 @@ def _json_messages(s: SparkSession, d: str) -> DataFrame:
 
 
 Q.add("json_message_text", _json_messages, "SELECT conv_id, turn, CASE WHEN turn % 4 = 2 THEN '{' || text ELSE text END AS message FROM conversations")
+
+
+def _files(s: SparkSession, d: str) -> DataFrame:
+    """Messages in the forms that carry attachments."""
+    k, name = F.col("turn") % 5, F.concat("role", F.lit("/"), F.col("turn").cast("string"))
+    one = F.struct(name.alias("link"), F.col("text").alias("note"))
+    by_id = F.struct(F.lit("").alias("link"), F.col("conv_id").alias("fileid"))
+    raw = F.when(k == 0, F.to_json(F.array(one, one))).when(k == 1, F.to_json(F.struct(F.array(one).alias("msg")))).when(k == 2, F.to_json(F.struct(by_id.alias("msg")))).when(k == 3, F.to_json(one)).otherwise(F.col("text"))
+    return t.table(s, d, "conversations").select("conv_id", "turn", F.posexplode(x.attachments(raw)).alias("place", "a")).select("conv_id", "turn", "place", "a.link")
+
+
+Q.add(
+    "attachment_links", _files,
+    """SELECT conv_id, turn, p AS place, CASE WHEN turn % 5 = 2 THEN CAST(conv_id AS VARCHAR) ELSE role || '/' || CAST(turn AS VARCHAR) END AS link
+      FROM conversations, (VALUES (0), (1)) v(p) WHERE turn % 5 < 4 AND (p = 0 OR turn % 5 = 0)""",
+)
+Q.add("document_ids", lambda s, d: t.table(s, d, "documents").select("doc_id", x.document_id(F.sha2("text", 256), F.col("doc_id")).alias("id")), "SELECT doc_id, 'document:' || coalesce(sha256(text), CAST(doc_id AS VARCHAR)) AS id FROM documents")
 Q.add(
     "tz_convert", lambda s, d: t.table(s, d, "events").select("event_id", times.from_utc(F.col("ts"), "Asia/Calcutta").alias("local_time"), times.to_utc(F.col("ts"), "America/New_York").alias("utc")),
     "SELECT event_id, strftime(ts + INTERVAL 330 MINUTE, '%Y-%m-%d %H:%M:%S') AS local_time, ts + INTERVAL 5 HOUR AS utc FROM events",
@@ -139,6 +157,51 @@ Q.add(
 )
 
 
+_window = lambda: (F.expr("timestamp_ntz'2024-01-05 12:00:00'"), F.expr("timestamp_ntz'2024-01-20'"))
+_EXTENDED = Q.oracle["coverage_gaps"].replace(" SELECT * FROM g WHERE gap_start <= gap_end", """,
+      d AS (SELECT e.event_id, e.user_id FROM events e JOIN g ON g.ref_id = e.user_id AND e.ts BETWEEN gap_start AND gap_end WHERE gap_start <= gap_end)""")
+_stamped = lambda s, d: t.table(s, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+Q.add(
+    "summary_delta", lambda s, d: c.uncovered(_stamped(s, d), c.coverage_gaps(_sums(s, d), *_window()), "user_id", "ts").select("event_id", "user_id"),
+    f"{_EXTENDED} SELECT event_id, user_id FROM d",
+)
+Q.add(
+    "summary_extend", lambda s, d: c.extended(_sums(s, d), _stamped(s, d), *_window(), "user_id", "ts"),
+    f"""{_EXTENDED}, i AS (SELECT * FROM stored_summaries WHERE start_date <= TIMESTAMP '2024-01-20' AND end_date >= TIMESTAMP '2024-01-05 12:00:00'),
+      l AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY end_date DESC, id DESC) = 1), a AS (SELECT user_id, count(*) AS added FROM d GROUP BY 1)
+      SELECT ref_id, id, start_date, CASE WHEN added > 0 THEN greatest(end_date, TIMESTAMP '2024-01-20') ELSE end_date END AS end_date, n + coalesce(added, 0) AS n, coalesce(added, 0) AS added FROM l LEFT JOIN a ON user_id = ref_id""",
+)
+
+
+def _cached(s: SparkSession, d: str) -> DataFrame:
+    """The cache after its extended rows are written over the stored ones, by ref and start."""
+    stored = _sums(s, d).drop("id")
+    moved = c.extended(_sums(s, d), _stamped(s, d), *_window(), "user_id", "ts").where("added > 0").drop("id", "added")
+    return changes.current(changes.together(changes.upserts(stored, 1), changes.upserts(moved, 2)), "ref_id", "start_date", last="end_date").select("ref_id", "start_date", "end_date", "n")
+
+
+Q.add(
+    "summary_cache_upsert", _cached,
+    f"""{_EXTENDED}, i AS (SELECT * FROM stored_summaries WHERE start_date <= TIMESTAMP '2024-01-20' AND end_date >= TIMESTAMP '2024-01-05 12:00:00'),
+      l AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY end_date DESC, id DESC) = 1), a AS (SELECT user_id, count(*) AS added FROM d GROUP BY 1),
+      x AS (SELECT ref_id, start_date, greatest(end_date, TIMESTAMP '2024-01-20') AS e, n + added AS m FROM l JOIN a ON user_id = ref_id)
+      SELECT s.ref_id, s.start_date, coalesce(e, end_date) AS end_date, coalesce(m, n) AS n FROM stored_summaries s LEFT JOIN x ON x.ref_id = s.ref_id AND x.start_date = s.start_date""",
+)
+
+
+def _requests(s: SparkSession, d: str) -> DataFrame:
+    """The orders of a customer as a request."""
+    r = t.table(s, d, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").cast("timestamp_ntz").alias("a"), F.max("o_orderdate").cast("timestamp_ntz").alias("b"), F.sum("o_totalprice").cast("long").alias("n"))
+    return r.select("o_custkey", c.request_error(F.col("a"), F.col("b"), F.col("n") % 20_000).alias("error"), c.storable(F.nullif(F.col("n") % 3, F.lit(1)), F.col("n") % 2 > 0).alias("storable"))
+
+
+Q.add(
+    "request_guards", _requests,
+    """SELECT o_custkey, CASE WHEN date_diff('second', CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP)) > 93 * 86400 THEN 'more than 93 days' WHEN n % 20000 > 10000 THEN 'more than 10000 messages' END AS error, n % 3 < 2 AND n % 2 = 0 AS storable
+      FROM (SELECT o_custkey, min(o_orderdate) AS a, max(o_orderdate) AS b, CAST(trunc(sum(o_totalprice)) AS BIGINT) AS n FROM orders GROUP BY 1)""",
+)
+
+
 def _segments(s: SparkSession, d: str) -> DataFrame:
     stored = _sums(s, d).where("id % 2 = 0").select("ref_id", F.col("start_date").alias("start"), "n")
     chats = _sums(s, d).where("id % 2 = 1").select("ref_id", F.col("start_date").alias("start"), "n")
@@ -146,6 +209,7 @@ def _segments(s: SparkSession, d: str) -> DataFrame:
 
 
 Q.add("segment_order", _segments, t.with_views("SELECT ref_id, start_date AS start, n, CASE WHEN id % 2 = 0 THEN 'summary' ELSE 'chats' END AS type FROM stored_summaries", "stored_summaries"))
+Q.add("segment_chats", lambda s, d: c.has_chats(c.payload(_segments(s, d))), t.with_views("SELECT ref_id, bool_or(id % 2 = 1 AND n > 0) AS has_chats FROM stored_summaries GROUP BY 1", "stored_summaries"))
 Q.add(
     "segment_metadata", lambda s, d: c.segment_metadata(t.messages(s, d), "sid", "archiveid", "messagetime", "smsgid"),
     t.with_views("""SELECT sid, CAST(sum(n) AS BIGINT) AS n_messages, string_agg(CAST(archiveid AS VARCHAR), ', ' ORDER BY f) AS participants, date_sub('second', min(a), max(b)) AS seconds

@@ -30,8 +30,8 @@ Q.add("ext_star_join", _star, """SELECT r_name, n_name, round(sum(l_extendedpric
       JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL""")
 Q.add("ext_semi_join", lambda s, d: t.table(s, d, "customer").join(t.table(s, d, "orders").where("o_totalprice > 200000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
 Q.add("ext_anti_join", lambda s, d: t.table(s, d, "customer").join(t.table(s, d, "orders").where("o_totalprice > 300000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)")
-Q.add("ext_full_join", lambda s, d: t.table(s, d, "customer").where("c_custkey % 2 = 0").select("c_custkey").join(t.table(s, d, "orders").where("o_orderkey % 3 = 0").groupBy("o_custkey").agg(F.count("*").alias("n")), F.col("c_custkey") == F.col("o_custkey"), "full").select("c_custkey", "o_custkey", "n"),
-      "SELECT c_custkey, o_custkey, n FROM (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0) FULL JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1) ON c_custkey = o_custkey")
+Q.add("ext_full_join", lambda s, d: t.table(s, d, "customer").where("c_acctbal > 0").select("c_custkey").join(t.table(s, d, "orders").where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.count("*").alias("n")), F.col("c_custkey") == F.col("o_custkey"), "full").select("c_custkey", "o_custkey", "n"),
+      "SELECT c_custkey, o_custkey, n FROM (SELECT c_custkey FROM customer WHERE c_acctbal > 0) FULL JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) ON c_custkey = o_custkey")
 Q.add("ext_cube", lambda s, d: _l(s, d).cube("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("q"), F.grouping_id().alias("g")), "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS q, grouping_id(l_returnflag, l_linestatus) AS g FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 Q.add("ext_distinct_agg", lambda s, d: _l(s, d).groupBy("l_returnflag").agg(F.count_distinct("l_suppkey").alias("suppliers"), F.count_distinct("l_partkey").alias("parts")), "SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY 1")
 Q.add("ext_approx", lambda s, d: _l(s, d).groupBy("l_returnflag").agg(F.approx_count_distinct("l_partkey", 0.02).alias("parts"), F.percentile_approx("l_quantity", 0.5).alias("median")))

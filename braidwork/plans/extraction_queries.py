@@ -20,26 +20,26 @@ Q.add(
 
 
 def _csv_cells(s: SparkSession, d: str) -> DataFrame:
-    """Nations as CSV files, one a region, parsed back to cells."""
-    rows = t.table(s, d, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v")))).alias("r"))
-    body = F.array_join(F.transform("r", lambda z: F.concat(F.lpad(z["k"].cast("string"), 3, "0"), F.lit(","), z["v"])), "\n")
-    files = rows.select(F.col("n_regionkey").alias("file_id"), F.lit("csv").alias("extension"), F.encode(F.concat(F.lit("key,name\n"), body, F.lit("\n")), "UTF-8").alias("content"))
+    """Customers' orders as CSV files, one a customer, parsed back to cells."""
+    rows = t.table(s, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("v")))).alias("r"))
+    body = F.array_join(F.transform("r", lambda z: F.concat(F.lpad(z["k"].cast("string"), 12, "0"), F.lit(","), z["v"])), "\n")
+    files = rows.select(F.col("o_custkey").alias("file_id"), F.lit("csv").alias("extension"), F.encode(F.concat(F.lit("key,priority\n"), body, F.lit("\n")), "UTF-8").alias("content"))
     return e.cell_rows(e.extract(files)).select("file_id", "row", "column", "text", "header")
 
 
 Q.add(
     "csv_cells", _csv_cells,
-    """WITH n AS (SELECT n_regionkey, n_nationkey, n_name, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r FROM nation)
-      SELECT n_regionkey AS file_id, CAST(r AS INTEGER) AS row, 0 AS column, lpad(CAST(n_nationkey AS VARCHAR), 3, '0') AS text, FALSE AS header FROM n UNION ALL
-      SELECT n_regionkey, CAST(r AS INTEGER), 1, n_name, FALSE FROM n UNION ALL SELECT DISTINCT n_regionkey, 0, 0, 'key', TRUE FROM n UNION ALL SELECT DISTINCT n_regionkey, 0, 1, 'name', TRUE FROM n""",
+    """WITH n AS (SELECT o_custkey AS f, o_orderkey AS k, o_orderpriority AS p, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS r FROM orders)
+      SELECT f AS file_id, r AS row, 0 AS column, lpad(CAST(k AS VARCHAR), 12, '0') AS text, FALSE AS header FROM n UNION ALL
+      SELECT f, r, 1, p, FALSE FROM n UNION ALL SELECT DISTINCT f, 0, 0, 'key', TRUE FROM n UNION ALL SELECT DISTINCT f, 0, 1, 'priority', TRUE FROM n""",
 )
 Q.add(
     "heading_levels", lambda s, d: e.heading_levels(t.blocks(s, d)).select("doc_id", "ordinal", "level"),
     t.with_views("SELECT doc_id, ordinal, CASE WHEN font_size > min(font_size) OVER (PARTITION BY doc_id) THEN CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY font_size DESC) AS INTEGER) END AS level FROM blocks", "blocks"),
 )
 Q.add(
-    "first_title", lambda s, d: e.first_title(e.heading_levels(t.blocks(s, d).where("ordinal > 0 or doc_id % 2 = 0"))),
-    t.with_views(""", b AS (SELECT * FROM blocks WHERE ordinal > 0 OR doc_id % 2 = 0), l AS (SELECT *, CASE WHEN font_size > min(font_size) OVER (PARTITION BY doc_id) THEN dense_rank() OVER (PARTITION BY doc_id ORDER BY font_size DESC) END AS level FROM b)
+    "first_title", lambda s, d: e.first_title(e.heading_levels(t.blocks(s, d))),
+    t.with_views(""", l AS (SELECT *, CASE WHEN font_size > min(font_size) OVER (PARTITION BY doc_id) THEN dense_rank() OVER (PARTITION BY doc_id ORDER BY font_size DESC) END AS level FROM blocks)
       SELECT doc_id, first(text ORDER BY CASE type WHEN 'title' THEN 0 ELSE 1 END, ordinal) AS title FROM l WHERE type = 'title' OR (type = 'heading' AND level = 1) GROUP BY doc_id""", "blocks"),
 )
 Q.add("list_items", lambda s, d: t.blocks(s, d).select("doc_id", "ordinal", x.is_list_item(F.col("text")).alias("is_list_item")), t.with_views(r"SELECT doc_id, ordinal, regexp_matches(text, '^(•|-|\*|[0-9][.)])') AS is_list_item FROM blocks", "blocks"))
