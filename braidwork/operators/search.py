@@ -10,11 +10,12 @@ import base64
 import hashlib
 import json
 import math
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from datetime import datetime
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Row, Window
 from pyspark.sql import functions as F
 
 from braidwork.functions.text import normalize_query, tokens
@@ -237,34 +238,112 @@ def keyset_after(rows: DataFrame, order: list[tuple[str, str]], last: tuple[obje
     return rows.where(cond)
 
 
-def search(docs: DataFrame, spec: SearchSpec, *, sids: DataFrame, roots: DataFrame, vectors: DataFrame | None = None, query_vector: list[float] | None = None) -> DataFrame:
-    """Candidates of a request: document columns, score and rank. ``vectors`` is (message_id, embedding)."""
+def _matches(docs: DataFrame, spec: SearchSpec, sids: DataFrame, roots: DataFrame, vectors: DataFrame | None, query_vector: list[float] | None) -> DataFrame:
+    """Document columns and score of all matches; counts, lengths and frequencies are those of the rows that the caller may see."""
     seen = authorised(docs.where(predicates(spec)), sids, roots)
-    size = spec.size
     legs: list[DataFrame] = []
     hybrid = len(set(spec.methods)) == 2
     if "lexical" in spec.methods:
-        n, avgdl = corpus_size(docs)
+        n, avgdl = corpus_size(seen)
         legs.append(tiered(postings(seen), spec.query, n, avgdl))
     if "semantic" in spec.methods:
         if vectors is None or query_vector is None:
             raise ValueError("semantic search needs vectors and a query vector")
-        k = max(1, min(size // 4, size - 1)) if hybrid else 2 * max(size, 1)
+        k = max(1, min(spec.size // 4, spec.size - 1)) if hybrid else 2 * max(spec.size, 1)
         legs.append(knn(vectors.join(seen.select("message_id"), "message_id", "left_semi"), query_vector, k, key="message_id").select("doc", "score"))
     if hybrid:
         bounded = top_k(legs[0], spec.depth).select("doc", "score")
         scored = fuse_rrf(bounded, legs[1]) if spec.fusion == "rrf" else fuse_minmax(bounded, legs[1])
     else:
         scored = legs[0]
-    rows = scored.join(seen, scored.doc == seen.message_id).drop("doc")
-    order = [("score", spec.direction), ("message_id", "asc")] if spec.sort == "score" else [("created_at", spec.direction), ("message_id", "asc")]
+    return scored.join(seen, scored.doc == seen.message_id).drop("doc")
+
+
+def _page(rows: DataFrame, spec: SearchSpec) -> DataFrame:
+    order = _order(spec)
     if spec.search_after is not None:
         rows = keyset_after(rows, order, spec.search_after)
     by = [F.desc(c) if d == "desc" else F.asc(c) for c, d in order]
-    page = rows.orderBy(*by).offset(spec.offset).limit(size)
+    page = rows.orderBy(*by).offset(spec.offset).limit(spec.size)
     return page.withColumn("rank", F.row_number().over(Window.orderBy(*by)))
 
 
+def _order(spec: SearchSpec) -> list[tuple[str, str]]:
+    return [("score" if spec.sort == "score" else "created_at", spec.direction), ("message_id", "asc")]
+
+
+def search(docs: DataFrame, spec: SearchSpec, *, sids: DataFrame, roots: DataFrame, vectors: DataFrame | None = None, query_vector: list[float] | None = None) -> DataFrame:
+    """Candidates of a request: document columns, score and rank. ``vectors`` is (message_id, embedding)."""
+    return _page(_matches(docs, spec, sids, roots, vectors, query_vector), spec)
+
+
+@dataclass(frozen=True)
+class Result:
+    """Of one content type. ``total`` counts all matches, whatever the page; it is None if the type was exhausted or failed."""
+
+    candidates: list[Row]
+    total: int | None = None
+    error: str | None = None
+
+    @property
+    def status(self) -> str:
+        return "success" if self.error is None else "error"
+
+
+@dataclass(frozen=True)
+class Response:
+    results: dict[str, Result]
+    next_cursor: str | None
+
+
+def respond(
+    docs: dict[str, DataFrame], spec: SearchSpec, cursor: str | None = None, *, sids: DataFrame, roots: DataFrame, vectors: DataFrame | None = None, query_vector: list[float] | None = None
+) -> Response:
+    """A page of each content type that ``spec`` asks for, with totals and the cursor of the next page.
+
+    A page is at most ``MAX_LIMIT`` rows, which come to the driver with their count in one job a type. Hybrid search by
+    score pages by offset, as its scores belong to one bounded fusion; all else goes on after the last row. A
+    page that isn't full exhausts its type, as a failure does, and an exhausted type stays so."""
+    before = None if cursor is None else decode_cursor(cursor)
+    if before is not None:
+        check_cursor(before, spec)
+    by_offset = len(set(spec.methods)) == 2 and (spec.sort, spec.direction) == ("score", "desc")
+    results: dict[str, Result] = {}
+    after: dict[str, list[object] | None] = {}
+    for kind in spec.content_types:
+        last = before.search_after.get(kind, []) if before else []
+        if last is None:
+            results[kind], after[kind] = Result([]), None
+            continue
+        at = int(last[0]) if by_offset and last else 0  # type: ignore[call-overload]
+        one = replace(spec, offset=at, search_after=None if by_offset or not last else tuple(last))
+        found = Observation()
+        try:
+            if kind not in docs:
+                raise ValueError(f"no index for {kind}")
+            rows = _matches(docs[kind], one, sids, roots, vectors, query_vector).observe(found, F.count(F.lit(1)).alias("n"))
+            page = _page(rows, one).orderBy("rank").collect() if spec.size else []
+        except Exception as e:  # noqa: BLE001 one type's failure leaves the others
+            results[kind], after[kind] = Result([], error=str(e)), None
+            continue
+        results[kind] = Result(page, found.get["n"] if spec.size else None)
+        full = bool(page) and len(page) == spec.size
+        values = [at + len(page)] if by_offset else [_plain(page[-1][c]) for c, _ in _order(spec)] if full else []
+        after[kind] = values if full else None
+    done = all(v is None for v in after.values())
+    return Response(results, None if done else encode_cursor(Cursor(query_hash(spec), spec.sort, spec.direction, spec.depth, after)))
+
+
+def _plain(value: object) -> object:
+    """As JSON can hold it; times come back by a cast."""
+    return value.isoformat(sep=" ") if isinstance(value, datetime) else value
+
+
+def positions(page: DataFrame, offset: int = 0) -> DataFrame:
+    """Adds sort_values, the place of each row of a page in the whole result."""
+    return page.withColumn("sort_values", F.array((F.lit(offset) + F.col("rank")).cast("long")))
+
+
 @dataclass(frozen=True)
 class Cursor:
     query_hash: str

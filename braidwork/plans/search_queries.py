@@ -38,7 +38,7 @@ def _post(source: str, key: str) -> str:
       post AS (SELECT doc, len(t) AS dl, unnest(t) AS term, unnest(range(len(t))) AS pos FROM tok),
       tf AS (SELECT doc, term, count(*) AS tf, any_value(dl) AS dl FROM post GROUP BY doc, term),
       dfs AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-      c AS (SELECT count(*) AS n, avg(len(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''))) AS avgdl FROM documents),
+      c AS (SELECT count(*) AS n, avg(len(list_filter(string_split_regex(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> ''))) AS avgdl FROM {source}),
       sc AS (SELECT doc, term, ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl)) AS score FROM tf JOIN dfs USING (term) CROSS JOIN c)"""
 
 
@@ -68,9 +68,8 @@ SPEC = search.SearchSpec(query=WORDS, site_id=1, channel_types=(), after=1704067
 
 
 def _tiered(s: SparkSession, d: str) -> DataFrame:
-    docs = t.search_docs(s, d)
-    n, avgdl = search.corpus_size(docs)
-    seen = docs.where(search.predicates(SPEC))
+    seen = t.search_docs(s, d).where(search.predicates(SPEC))
+    n, avgdl = search.corpus_size(seen)
     return search.top_k(search.tiered(search.postings(seen), SPEC.query, n, avgdl), 20)
 
 
@@ -150,9 +149,7 @@ Q.add(
 
 
 def _page2(s: SparkSession, d: str) -> DataFrame:
-    docs = t.search_docs(s, d)
-    n, avgdl = search.corpus_size(docs)
-    scored = search.tiered(search.postings(docs.where(search.predicates(SPEC))), SPEC.query, n, avgdl)
+    scored = _tiered_all(s, d)
     last = search.top_k(scored, 10).orderBy(F.desc("rank")).first()
     order = [("score", "desc"), ("doc", "asc")]
     after = search.keyset_after(scored, order, (last["score"], last["doc"])) if last else scored
@@ -168,9 +165,9 @@ Q.add("total_hits", lambda s, d: _tiered_all(s, d).agg(F.count("*").alias("total
 
 
 def _tiered_all(s: SparkSession, d: str) -> DataFrame:
-    docs = t.search_docs(s, d)
-    n, avgdl = search.corpus_size(docs)
-    return search.tiered(search.postings(docs.where(search.predicates(SPEC))), SPEC.query, n, avgdl)
+    seen = t.search_docs(s, d).where(search.predicates(SPEC))
+    n, avgdl = search.corpus_size(seen)
+    return search.tiered(search.postings(seen), SPEC.query, n, avgdl)
 
 
 def _request(s: SparkSession, d: str) -> DataFrame:
@@ -178,7 +175,16 @@ def _request(s: SparkSession, d: str) -> DataFrame:
     vectors = t.table(s, d, "embeddings").select(F.col("vec_id").alias("message_id"), "embedding")
     spec = search.SearchSpec(query=WORDS, site_id=1, channel_types=(), methods=("lexical", "semantic"), fusion="rrf")
     out = search.search(t.search_docs(s, d), spec, sids=chat.allowed_sids(t.members(s, d), 2), roots=t.search_docs(s, d).where("author_archive_id = 3").select("thread_root_id"), vectors=vectors, query_vector=_query_vector(s, d))
-    return out.select("message_id", "score", "rank")
+    return search.positions(out).select("message_id", "score", "rank", F.col("sort_values")[0].alias("place"))
 
 
-Q.add("search_request", _request)
+_MINE = f"""seen AS (SELECT * FROM search_docs WHERE site_id = 1 AND NOT is_deleted AND (sid IN ({_ALLOWED}) OR thread_root_id IN (SELECT thread_root_id FROM search_docs WHERE author_archive_id = 3)))"""
+Q.add(
+    "search_request", _request,
+    t.with_views(_TIERED.replace(_SEEN, _MINE) + f""", {_COS}, l AS (SELECT doc, score FROM tiers ORDER BY score DESC, doc LIMIT 100),
+      m AS (SELECT doc, score FROM v WHERE doc IN (SELECT message_id FROM seen) ORDER BY score DESC, doc LIMIT 5),
+      r AS (SELECT doc, row_number() OVER (ORDER BY score DESC, doc) AS r FROM l UNION ALL SELECT doc, row_number() OVER (ORDER BY score DESC, doc) FROM m),
+      f AS (SELECT doc AS message_id, round(sum(1.0 / (60 + r)), 6) AS score FROM r GROUP BY doc),
+      p AS (SELECT message_id, score, row_number() OVER (ORDER BY score DESC, message_id) AS rank FROM f)
+      SELECT message_id, score, rank, rank AS place FROM p WHERE rank <= 20""", "members", "search_docs"),
+)

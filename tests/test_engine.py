@@ -109,6 +109,33 @@ def test_access_and_filters(spark):
         search.SearchSpec(query="a", site_id=1, limit=101)
 
 
+def test_responses_page_to_the_end(spark):
+    """Three pages of one content type, one of another, and none of a third; pages in order are the whole result."""
+    fields = "message_id long, site_id long, sid long, thread_root_id long, channel_type string, is_deleted boolean, created_at timestamp_ntz, author_archive_id long, text string"
+    rows = [(i, 1, 1 + i // 10, i, "dm", False, T0 + timedelta(hours=i % 3), i, "blue " + "moon " * (i % 3) + "x" * i) for i in range(12)]
+    docs = spark.createDataFrame(rows, fields)
+    one = lambda *v: spark.createDataFrame([(i,) for i in v], "k long")
+    vectors = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(12)], "message_id long, embedding array<double>")
+    sources = {"messages": docs, "files": docs.where("message_id < 2")}
+    kinds = ("messages", "files", "mail")
+    for how in ({}, {"sort": "created_at"}, {"methods": ("lexical", "semantic")}):
+        spec = search.SearchSpec(query="blue moon", site_id=1, limit=4, content_types=kinds, **how)
+        more = {"sids": one(1), "roots": one(11), "vectors": vectors, "query_vector": [1.0, 0.0]}
+        wide = search.search(docs, search.SearchSpec(query="blue moon", site_id=1, limit=100, **how), **more).orderBy("rank").collect()
+        got, cursor, pages = [], None, 0
+        while pages == 0 or cursor:
+            r = search.respond(sources, spec, cursor, **more)
+            assert r.results["mail"].status == ("error" if pages == 0 else "success") and len(r.results["files"].candidates) == (2 if pages == 0 else 0)
+            assert r.results["messages"].total == 11 and (r.results["files"].total == 2) == (pages == 0)
+            got += [row["message_id"] for row in r.results["messages"].candidates]
+            cursor, pages = r.next_cursor, pages + 1
+        assert pages == 3 and len(got) == len(set(got)) == 11
+        if "methods" not in how:  # the depth of a hybrid leg depends on the limit
+            assert got == [row["message_id"] for row in wide]
+    with pytest.raises(ValueError):
+        search.respond(sources, search.SearchSpec(query="red", site_id=1), search.encode_cursor(search.Cursor("", "score", "desc", 1, {})), sids=one(1), roots=one(1))
+
+
 def test_cursor():
     spec = search.SearchSpec(query="a", site_id=1)
     text = search.next_cursor(spec, (1.5, 7))
