@@ -158,16 +158,17 @@ Q.add(
 
 
 _window = lambda: (F.expr("timestamp_ntz'2024-01-05 12:00:00'"), F.expr("timestamp_ntz'2024-01-20'"))
-_EXTENDED = Q.oracle["coverage_gaps"].replace(" SELECT * FROM g WHERE gap_start <= gap_end", """,
+_EXTENDED = Q.oracle["coverage_gaps"].replace("FROM stored_summaries),", "FROM busy),").replace(", k AS (", ", busy AS (SELECT * FROM stored_summaries WHERE n > 2), k AS (").replace(" SELECT * FROM g WHERE gap_start <= gap_end", """,
       d AS (SELECT e.event_id, e.user_id FROM events e JOIN g ON g.ref_id = e.user_id AND e.ts BETWEEN gap_start AND gap_end WHERE gap_start <= gap_end)""")
+_busy = lambda s, d: _sums(s, d).where("n > 2")
 _stamped = lambda s, d: t.table(s, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
 Q.add(
-    "summary_delta", lambda s, d: c.uncovered(_stamped(s, d), c.coverage_gaps(_sums(s, d), *_window()), "user_id", "ts").select("event_id", "user_id"),
+    "summary_delta", lambda s, d: c.uncovered(_stamped(s, d), c.coverage_gaps(_busy(s, d), *_window()), "user_id", "ts").select("event_id", "user_id"),
     f"{_EXTENDED} SELECT event_id, user_id FROM d",
 )
 Q.add(
-    "summary_extend", lambda s, d: c.extended(_sums(s, d), _stamped(s, d), *_window(), "user_id", "ts"),
-    f"""{_EXTENDED}, i AS (SELECT * FROM stored_summaries WHERE start_date <= TIMESTAMP '2024-01-20' AND end_date >= TIMESTAMP '2024-01-05 12:00:00'),
+    "summary_extend", lambda s, d: c.extended(_busy(s, d), _stamped(s, d), *_window(), "user_id", "ts"),
+    f"""{_EXTENDED}, i AS (SELECT * FROM busy WHERE start_date <= TIMESTAMP '2024-01-20' AND end_date >= TIMESTAMP '2024-01-05 12:00:00'),
       l AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY end_date DESC, id DESC) = 1), a AS (SELECT user_id, count(*) AS added FROM d GROUP BY 1)
       SELECT ref_id, id, start_date, CASE WHEN added > 0 THEN greatest(end_date, TIMESTAMP '2024-01-20') ELSE end_date END AS end_date, n + coalesce(added, 0) AS n, coalesce(added, 0) AS added FROM l LEFT JOIN a ON user_id = ref_id""",
 )
@@ -175,17 +176,17 @@ Q.add(
 
 def _cached(s: SparkSession, d: str) -> DataFrame:
     """The cache after its extended rows are written over the stored ones, by ref and start."""
-    stored = _sums(s, d).drop("id")
-    moved = c.extended(_sums(s, d), _stamped(s, d), *_window(), "user_id", "ts").where("added > 0").drop("id", "added")
+    stored = _busy(s, d).drop("id")
+    moved = c.extended(_busy(s, d), _stamped(s, d), *_window(), "user_id", "ts").where("added > 0").drop("id", "added")
     return changes.current(changes.together(changes.upserts(stored, 1), changes.upserts(moved, 2)), "ref_id", "start_date", last="end_date").select("ref_id", "start_date", "end_date", "n")
 
 
 Q.add(
     "summary_cache_upsert", _cached,
-    f"""{_EXTENDED}, i AS (SELECT * FROM stored_summaries WHERE start_date <= TIMESTAMP '2024-01-20' AND end_date >= TIMESTAMP '2024-01-05 12:00:00'),
+    f"""{_EXTENDED}, i AS (SELECT * FROM busy WHERE start_date <= TIMESTAMP '2024-01-20' AND end_date >= TIMESTAMP '2024-01-05 12:00:00'),
       l AS (SELECT * FROM i QUALIFY row_number() OVER (PARTITION BY ref_id ORDER BY end_date DESC, id DESC) = 1), a AS (SELECT user_id, count(*) AS added FROM d GROUP BY 1),
       x AS (SELECT ref_id, start_date, greatest(end_date, TIMESTAMP '2024-01-20') AS e, n + added AS m FROM l JOIN a ON user_id = ref_id)
-      SELECT s.ref_id, s.start_date, coalesce(e, end_date) AS end_date, coalesce(m, n) AS n FROM stored_summaries s LEFT JOIN x ON x.ref_id = s.ref_id AND x.start_date = s.start_date""",
+      SELECT s.ref_id, s.start_date, coalesce(e, end_date) AS end_date, coalesce(m, n) AS n FROM busy s LEFT JOIN x ON x.ref_id = s.ref_id AND x.start_date = s.start_date""",
 )
 
 

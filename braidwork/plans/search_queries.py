@@ -51,7 +51,8 @@ def _legs(any_: str, phrase: str, prefix: str, fuzzy: str) -> str:
     a, p, x, z = (search.query_words(q) for q in (any_, phrase, prefix, fuzzy))
     run = lambda ws, last="=": " ".join(f"JOIN post p{i} ON p{i}.doc = p0.doc AND p{i}.pos = p0.pos + {i} AND " + (f"p{i}.term = '{w}'" if last == "=" or i < len(ws) - 1 else f"starts_with(p{i}.term, '{w}')") for i, w in enumerate(ws) if i)
     head = lambda ws, last: f"p0.term = '{ws[0]}'" if last == "=" or len(ws) > 1 else f"starts_with(p0.term, '{ws[0]}')"
-    near = " OR ".join(f"(length(term) BETWEEN {len(w) - k} AND {len(w) + k} AND levenshtein(term, '{w}') <= {k})" for w in z for k in [search.fuzzy_distance(w)])
+    # The oracle's distance counts bytes, so characters beyond ASCII, which no query word has, become one byte first.
+    near = " OR ".join(f"(length(term) BETWEEN {len(w) - k} AND {len(w) + k} AND levenshtein(regexp_replace(term, '[^\\x00-\\x7F]', '?', 'g'), '{w}') <= {k})" for w in z for k in [search.fuzzy_distance(w)])
     lead = f"term IN {_list(x[:-1])} OR " if x[:-1] else ""
     return f"""leg_any AS (SELECT doc, sum(score) AS score FROM sc WHERE term IN {_list(a)} GROUP BY doc),
       leg_phrase AS (SELECT doc, sum(score) AS score FROM sc WHERE term IN {_list(p)} AND doc IN (SELECT p0.doc FROM post p0 {run(p)} WHERE {head(p, "=")}) GROUP BY doc),
