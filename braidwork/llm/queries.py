@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, near_dedup, packing, pii, quality_classifier, quality_rules, substring_dedup, tool_calls, warc
+from . import decontaminate, hard_negatives, licenses, near_dedup, packing, pii, quality_classifier, quality_rules, substring_dedup, suffix_dedup, tool_calls, vector_codes, warc
 from .common import table
 
 
@@ -58,6 +58,18 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).drop("archive", "offset")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.report(table(spark, sf_dir, "embeddings"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_near_dedup": op2_near_dedup,
@@ -69,10 +81,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_warc": op9_warc,
     "op10_licenses": op10_licenses,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 
 _ITEM_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 _LICENSE_WORDS = r"""list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9\x{80}-\x{FFFF}]+'), lambda x: x <> '')"""
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+
+def _lloyd_sql() -> str:
+    """One CTE a round: c0 has the first entries, a0 the assignment to them, c1 the next entries, and so on."""
+    out = f"""WITH k AS (SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings WHERE {_FINITE}),
+        p AS (SELECT rid, part, v[part * (len(v) // 4) + 1:(part + 1) * (len(v) // 4)] AS x FROM k CROSS JOIN range(4) t(part)),
+        c0 AS (SELECT part, rid - 1 AS entry, x AS c FROM p WHERE rid <= 256)"""
+    for r in range(5):
+        out += f""",
+        a{r} AS MATERIALIZED (SELECT part, rid, min(d * 256 + entry) AS best FROM (SELECT p.part, rid, entry, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN c{r} USING (part)) GROUP BY ALL)"""
+        if r < 4:
+            out += f""",
+        s{r} AS (SELECT part, entry, i, (s - ((s % n) + n) % n) // n AS m FROM (
+            SELECT part, CAST(best % 256 AS BIGINT) AS entry, i, count(*) AS n, CAST(sum(x[i]) AS BIGINT) AS s FROM (SELECT part, best, x, unnest(range(1, len(x) + 1)) AS i FROM a{r} JOIN p USING (part, rid)) GROUP BY ALL)),
+        c{r + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m, c) AS c FROM c{r} LEFT JOIN (SELECT part, entry, list(m ORDER BY i) AS m FROM s{r} GROUP BY ALL) USING (part, entry))"""
+    return out + """,
+        h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c4),
+        e AS (SELECT vec_id, label, string_agg(printf('%02x', CAST(best % 256 AS BIGINT)), '' ORDER BY part) AS code, CAST(sum(best // 256) AS BIGINT) AS error FROM a4 JOIN k USING (rid) GROUP BY rid, vec_id, label)
+        SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM e CROSS JOIN h"""
+
+
 _TEMPLATES = ", ".join(f"('{name}', {i}, '{text}')" for name, texts in licenses.TEMPLATES.items() for i, text in enumerate(texts))
 
 ORACLE: dict[str, str] = {
@@ -116,4 +153,31 @@ ORACLE: dict[str, str] = {
                CASE WHEN octet_length(b) >= 100 AND page_id <> first THEN first END AS refers_to
         FROM p LEFT JOIN f ON p.d = f.d
     """,
+    "op11_hard_negatives": f"""
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE label IS NOT NULL AND {_FINITE}
+        ),
+        s AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
+        ),
+        p AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) QUALIFY row_number() OVER w <= 3
+    """,
+    "op12_vector_codes": _lloyd_sql(),
+    "op13_suffix_dedup": """
+        WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        w AS (SELECT rid, doc_id, p, md5(hex(b[p:p + 99])) AS g FROM (SELECT rid, doc_id, b, unnest(range(1, octet_length(b) - 98)) AS p FROM d)),
+        f AS (SELECT rid, p, row(doc_id, p) > min(row(doc_id, p)) OVER (PARTITION BY g) AS later FROM w),
+        r AS (SELECT rid, p, sum(new) OVER (PARTITION BY rid ORDER BY p) AS run FROM (SELECT rid, p, CASE WHEN p <= lag(p) OVER (PARTITION BY rid ORDER BY p) + 100 THEN 0 ELSE 1 END AS new FROM f WHERE later)),
+        s AS (SELECT rid, min(p) AS x, max(p) + 100 AS y FROM r GROUP BY rid, run),
+        k AS (SELECT rid, x, y, lag(y, 1, 1) OVER (PARTITION BY rid ORDER BY x) AS since FROM s),
+        t AS (SELECT rid, count(*) AS n, sum(y - x) AS removed, max(y) AS last, string_agg(hex(b[since:x - 1]), '' ORDER BY x) AS kept FROM k JOIN d USING (rid) GROUP BY rid)
+        SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n, 0) AS BIGINT) AS n_spans,
+               sha256(CASE WHEN n IS NULL THEN b ELSE unhex(kept || hex(b[last:])) END) AS kept_sha256
+        FROM d LEFT JOIN t USING (rid)
+    """,
 }
