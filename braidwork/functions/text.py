@@ -44,7 +44,14 @@ def clean_message(text: Column) -> Column:
     out = F.regexp_replace(F.coalesce(text, F.lit("")), P.EMOJI, "")
     for entity, char in ENTITIES:
         out = F.replace(out, F.lit(entity), F.lit(char))
-    return collapsed(F.regexp_replace(out, r"<[^>]+>", ""))
+    return collapsed(without_tags(out))
+
+
+def without_tags(text: Column) -> Column:
+    """Without ``<...>``. What comes after the last ``>`` has no tag, and is not searched for one at each ``<``."""
+    rest = F.substring_index(text, ">", -1)
+    head = F.substring(text, F.lit(1), F.length(text) - F.length(rest))
+    return F.concat(F.regexp_replace(head, r"<[^>]+>", ""), rest)
 
 
 def emoji_only(text: Column) -> Column:
@@ -66,8 +73,13 @@ def lenient_json(text: Column) -> Column:
     return F.when(t.rlike(r"^[{\[]"), F.coalesce(F.try_parse_json(t), F.try_parse_json(fixed)))
 
 
+#: All characters with the property White_Space.
+BLANKS = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def collapsed_ends(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """No blanks of any kind at the ends, in one pass: a pattern for the end of a text would start anew at each blank."""
+    return F.trim(text, F.lit(BLANKS))
 
 
 def message_text(text: Column) -> Column:

@@ -1,8 +1,8 @@
 """Keyed documents as a log of changes in plain Parquet: writes are appended, a reader keeps the last change of a key.
 
 A write is a folder ``batch=<name>`` of the log and replaces the folder of that name, so a repeated write changes
-nothing twice. Of two changes of a key the one with the later version counts, and in one write a delete counts more
-than an upsert. A deleted stream hides what was written of it before; upserts of the same write stay.
+nothing twice. Of two changes of a key the one with the later version counts; a write that has an upsert and a delete
+of one key (those of events never do) deletes. A deleted stream hides what was written of it before; upserts of the same write stay.
 """
 
 from __future__ import annotations

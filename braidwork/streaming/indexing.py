@@ -16,11 +16,11 @@ Source = Callable[[], tuple[DataFrame, DataFrame]]
 
 
 def event_changes(events: DataFrame, messages: DataFrame, streams: DataFrame, version: int) -> DataFrame:
-    """Changes for events (message_id, action). Rows that are gone, deleted or of another type are not indexed; deletes delete."""
-    ids = events.select("message_id", "action").distinct()
-    wanted = ids.where("action = 'upsert'").select("message_id")
-    rows = search_messages(index_feed(messages, streams)).join(wanted, "message_id", "left_semi")
-    return changes.together(changes.upserts(rows, version), changes.deletes(ids.where("action = 'delete'").select("message_id"), version))
+    """Changes for events (message_id, action). Whatever the actions of an id and their order, its source row decides: it is indexed if it is there, and its document goes if it is gone, deleted or of another type."""
+    ids = events.select("message_id").where("message_id is not null").distinct()
+    rows = search_messages(index_feed(messages, streams)).join(ids, "message_id", "left_semi")
+    gone = ids.join(rows.select("message_id"), "message_id", "left_anti")
+    return changes.together(changes.upserts(rows, version), changes.deletes(gone, version))
 
 
 def index_stream(events: DataFrame, path: str, source: Source, checkpoint: str) -> StreamingQuery:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import random
+import time
 import zipfile
 from datetime import datetime, timedelta
 from decimal import Decimal
@@ -338,7 +339,7 @@ def test_log_stream_and_backfill(spark, chats, tmp_path):
     stream = lambda: indexing.index_stream(spark.readStream.schema("message_id long, action string").parquet(str(events)), path, lambda: (m, s), str(tmp_path / "cp"))
     for _ in range(2):  # a restart finds nothing new
         stream().awaitTermination(120)
-        assert now() == [2, 3, 4, 12, 13, 15]
+        assert now() == [1, 2, 3, 4, 5, 12, 13, 15]  # 1 and 5 are live in the source, whatever their events say
     indexing.reindex_stream(m.where("smsgid <> 2"), s, path, 1, 1)
     assert now() == [1, 3, 4, 5, 12, 13, 15]
     changes.compact(spark, path, str(tmp_path / "new"), "message_id")
@@ -347,6 +348,23 @@ def test_log_stream_and_backfill(spark, chats, tmp_path):
         index_of("mail")
 
 
+@pytest.mark.parametrize("actions", [("upsert", "delete"), ("delete", "upsert"), ("delete",), ("upsert",)])
+def test_the_source_row_decides(spark, chats, actions):
+    m, s, _ = chats
+    e = spark.createDataFrame([(i, a) for i in (1, 11, 99) for a in actions], "message_id long, action string")
+    got = indexing.event_changes(e, m, s, 7).collect()
+    assert sorted((r["message_id"], r["_action"]) for r in got) == [(1, "upsert"), (11, "delete"), (99, "delete")]
+
+
+def test_long_texts_take_linear_time(spark):
+    n = 200_000
+    texts = [" " * n, "\u2003" * n + "x" + "\u3000" * n, "<" * n, "<b>" * n + "end", "a." * n, "\n" * n]
+    t, began = F.col("t"), time.time()
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", x.collapsed_ends(t).alias("ends"), x.clean_message(t).alias("clean")).orderBy("i").collect()
+    assert time.time() - began < 60
+    assert [got[i]["ends"] for i in (0, 1, 5)] == ["", "x", ""] and [got[i]["clean"] for i in (0, 2, 3)] == ["", "<" * n, "end"]
+
+
 def test_embedded(spark):
     docs = spark.createDataFrame([(i, "a" * i if i else None) for i in range(7)], "id long, text string").coalesce(1)
     seen = spark.sparkContext.accumulator(0)
