@@ -34,9 +34,10 @@ KINDS = ("email", "secret", "ip", "date", "ssn", "phone", "card")
 FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 108, 673
 #: Steps of a walk at most. Less than half of all images are of the wrong kind, so none needs nearly as many.
 WALK = 60
+#: A domain name has 127 labels at most. Without that bound the expression engine would go a call deeper for each label of a text.
 PATTERN = "|".join(
     [
-        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+        r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){0,126}\.[A-Za-z]{2,}",
         r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])",
         r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
         r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])",

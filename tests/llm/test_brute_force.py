@@ -180,3 +180,11 @@ def test_an_empty_pipeline(spark, tmp_path):
         spark.createDataFrame([], kind).write.parquet(str(tmp_path / f"{t}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_a_domain_of_any_length_is_no_crash(spark):
+    texts = ["a@" + "a." * 3000 + "com", "a@" + "a." * 500_000, "mail " + "x.y@" + "b." * 126 + "org now", "a@" * 100_000, "1-" * 300_000, "+1 2 3 " * 50_000]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in pii.pseudonymised(d, "key").collect()}
+    assert [got[i]["n_found"] for i in (0, 1, 2)] == [0, 0, 1] and got[2]["text"].endswith("@" + "b." * 126 + "org now")
+    assert all(got[i]["text"] == texts[i] for i in (0, 1))
