@@ -12,17 +12,21 @@ import json
 import math
 from dataclasses import dataclass, field, replace
 from datetime import datetime
-from functools import reduce
+from functools import cached_property, reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, Observation, Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from braidwork.functions.text import normalize_query, tokens
+from braidwork.sources.postings import LISTED, Index
 
 K1, B = 1.2, 0.75
 TIERS = {"phrase": 10.0, "any": 5.0, "prefix": 3.0, "fuzzy": 1.0}
 RRF_K, DEPTH_FACTOR = 60, 5
+#: Documents that are scored first at least.
+PROBED = 100
 LIMIT, MAX_LIMIT = 20, 100
 
 
@@ -169,8 +173,12 @@ def tiered(post: DataFrame, query: str, n: int, avgdl: float) -> DataFrame:
     The postings of all terms that any tier may use are read and scored once; the tiers are then expressions
     over a document's few matching terms, and equal the sum of the single legs."""
     words = query_words(query)
+    return _tiers(term_scores(post.where(F.col("term").isin(words) | F.col("term").startswith(words[-1]) | _near(F.col("term"), words)), n, avgdl), words)
+
+
+def _tiers(rows: DataFrame, words: list[str]) -> DataFrame:
+    """(doc, score) from the (doc, term, positions, score) of all terms that a tier may use."""
     lead, last = words[:-1], words[-1]
-    rows = term_scores(post.where(F.col("term").isin(words) | F.col("term").startswith(last) | _near(F.col("term"), words)), n, avgdl)
     row = rows.groupBy("doc").agg(F.collect_list(F.struct("term", "positions", "score")).alias("m"))
     total = lambda keep: F.aggregate(F.filter("m", keep), F.lit(0.0), lambda a, x: a + x["score"])
     at = lambda keep: F.flatten(F.transform(F.filter("m", keep), lambda x: x["positions"]))
@@ -184,6 +192,91 @@ def tiered(post: DataFrame, query: str, n: int, avgdl: float) -> DataFrame:
     return tiers.where("a > 0 or p > 0 or x > 0 or f > 0").select("doc", F.round(TIERS["phrase"] * F.col("p") + TIERS["any"] * F.col("a") + TIERS["prefix"] * F.col("x") + TIERS["fuzzy"] * F.col("f"), 6).alias("score"))
 
 
+@dataclass(frozen=True)
+class Stored:
+    """A query's postings of a stored index: those that meet a live document which the caller may see, with the counts of all such."""
+
+    index: Index
+    visible: DataFrame
+    words: list[str]
+    postings: DataFrame
+    n: int
+    avgdl: float
+
+    @classmethod
+    def of(cls, index: Index, visible: DataFrame, words: list[str], *, prefix: bool = True, near: bool = True) -> Stored:
+        edits = {w: fuzzy_distance(w) for w in words} if near else {}
+        terms = index.expansions(words, words[-1] if prefix else None, edits)
+        r = visible.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+        return cls(index, visible.select(F.col(index.key).alias("doc"), "segment"), words, index.postings_of(terms), r["n"], r["avgdl"] or 1.0)
+
+    @cached_property
+    def found(self) -> DataFrame:
+        """(doc, segment, term, slice, max_tf, min_dl): reads no positions. Kept while a query is answered."""
+        return self.postings.select("segment", "term", "slice", "max_tf", "min_dl", F.explode("docs").alias("doc")).join(self.visible, ["doc", "segment"], "left_semi").persist()
+
+    @cached_property
+    def frequencies(self) -> DataFrame:
+        """(term, df), on the driver while the terms are at most ``LISTED``."""
+        counted = self.found.groupBy("term").agg(F.count("*").alias("df"))
+        some = counted.limit(LISTED + 1).collect()
+        return F.broadcast(self.index.spark.createDataFrame(some, counted.schema)) if len(some) <= LISTED else counted
+
+    def bounds(self) -> DataFrame:
+        """(doc, segment, slice, most): no document's score is above ``most``. A block's largest frequency and least length bound its part of each tier; the phrase counts where all its words are."""
+        words, term = self.words, F.col("term")
+        lead, last = words[:-1], words[-1]
+        word = term.isin(words)
+        part = bm25(F.col("max_tf"), F.col("min_dl"), F.col("df"), self.n, self.avgdl)
+        weight = F.when(word, TIERS["any"]).otherwise(0.0) + F.when(term.isin(lead) | term.startswith(last), TIERS["prefix"]).otherwise(0.0) + F.when(_near(term, words), TIERS["fuzzy"]).otherwise(0.0)
+        rows = self.found.join(self.frequencies, "term").select("doc", "segment", "slice", (part * weight).alias("w"), F.when(word, part).alias("own"))
+        most = F.sum("w") + F.when(F.count("own") == len(set(words)), TIERS["phrase"] * F.sum("own")).otherwise(0.0)
+        return rows.groupBy("doc", "segment", "slice").agg(most.alias("most"))
+
+    def listed(self, rows: list[Row], schema: StructType) -> DataFrame:
+        """At most ``LISTED`` collected rows of ``bounds``."""
+        return F.broadcast(self.index.spark.createDataFrame(rows, schema))
+
+    def rows(self, only: DataFrame | None = None, slices: list[int] | None = None) -> DataFrame:
+        """(doc, term, positions, score) of all matching documents, or of those in ``only`` (doc, segment), whose slices are given if they are few."""
+        post = self.postings if slices is None else self.postings.where(F.col("slice").isin(slices))
+        each = post.select("segment", "term", F.explode(F.arrays_zip("docs", "dl", "positions")).alias("e")).select("segment", "term", F.col("e.docs").alias("doc"), F.col("e.dl").alias("dl"), F.col("e.positions").alias("positions"))
+        own = each.join(self.visible if only is None else only.select("doc", "segment"), ["doc", "segment"], "left_semi")
+        return own.join(self.frequencies, "term").select("doc", "term", "positions", bm25(F.size("positions"), F.col("dl"), F.col("df"), self.n, self.avgdl).alias("score"))
+
+
+def stored_tiers(index: Index, visible: DataFrame, query: str) -> DataFrame:
+    """``tiered`` from a stored index: (doc, score) of all matches. ``visible``: the rows of ``index.live()`` that the caller may see."""
+    words = query_words(query)
+    return _tiers(Stored.of(index, visible, words).rows(), words)
+
+
+def stored_top(index: Index, visible: DataFrame, query: str, k: int) -> DataFrame:
+    """The best k of ``stored_tiers``, with ranks. Documents with the largest bounds are scored first; the k-th of their scores is a score that k documents reach, so only documents with a bound from there on are scored, from the blocks that hold them."""
+    words = query_words(query)
+    s = Stored.of(index, visible, words)
+    bounds = s.bounds()
+    best = bounds.orderBy(F.desc("most"), "doc").limit(LISTED).collect()
+    scored = lambda rows: _tiers(s.rows(s.listed(rows, bounds.schema), sorted({r["slice"] for r in rows})), words)
+    probed = best[: max(PROBED, 2 * k)]
+    first = scored(probed)
+    done = first.collect()
+    reached = sorted((r["score"] for r in done), reverse=True)[:k]
+    least = reached[-1] - 1e-5 if len(reached) == k and k else -math.inf  # scores are rounded to six places
+    able = [r for r in best if r["most"] >= least]
+    if len(able) == LISTED:  # there may be more
+        return top_k(_tiers(s.rows(bounds.where(F.col("most") >= least)), words), k)
+    s.found.unpersist()
+    return top_k(index.spark.createDataFrame(done, first.schema) if len(able) <= len(probed) else scored(able), k)
+
+
+def stored_fuzzy(index: Index, visible: DataFrame, words: list[str]) -> DataFrame:
+    """``fuzzy`` from a stored index: near terms come from the variants of the words."""
+    s = Stored.of(index, visible, words, prefix=False)
+    near = s.rows().where(_near(F.col("term"), words))
+    return near.groupBy("doc").agg(F.sum("score").alias("score"))
+
+
 def query_words(query: str) -> list[str]:
     words = [w for w in "".join(c if c.isalnum() else " " for c in query.lower()).split()]
     if not words:
@@ -238,14 +331,19 @@ def keyset_after(rows: DataFrame, order: list[tuple[str, str]], last: tuple[obje
     return rows.where(cond)
 
 
-def _matches(docs: DataFrame, spec: SearchSpec, sids: DataFrame, roots: DataFrame, vectors: DataFrame | None, query_vector: list[float] | None) -> DataFrame:
-    """Document columns and score of all matches; counts, lengths and frequencies are those of the rows that the caller may see."""
+def _matches(docs: DataFrame, spec: SearchSpec, sids: DataFrame, roots: DataFrame, vectors: DataFrame | None, query_vector: list[float] | None, index: Index | None = None) -> DataFrame:
+    """Document columns and score of all matches; counts, lengths and frequencies are those of the rows that the caller may see.
+
+    With an index, ``docs`` are its live rows, and their texts aren't read."""
     seen = authorised(docs.where(predicates(spec)), sids, roots)
     legs: list[DataFrame] = []
     hybrid = len(set(spec.methods)) == 2
     if "lexical" in spec.methods:
-        n, avgdl = corpus_size(seen)
-        legs.append(tiered(postings(seen), spec.query, n, avgdl))
+        if index is not None:
+            legs.append(stored_top(index, seen, spec.query, spec.depth) if hybrid else stored_tiers(index, seen, spec.query))
+        else:
+            n, avgdl = corpus_size(seen)
+            legs.append(tiered(postings(seen), spec.query, n, avgdl))
     if "semantic" in spec.methods:
         if vectors is None or query_vector is None:
             raise ValueError("semantic search needs vectors and a query vector")
@@ -272,9 +370,10 @@ def _order(spec: SearchSpec) -> list[tuple[str, str]]:
     return [("score" if spec.sort == "score" else "created_at", spec.direction), ("message_id", "asc")]
 
 
-def search(docs: DataFrame, spec: SearchSpec, *, sids: DataFrame, roots: DataFrame, vectors: DataFrame | None = None, query_vector: list[float] | None = None) -> DataFrame:
-    """Candidates of a request: document columns, score and rank. ``vectors`` is (message_id, embedding)."""
-    return _page(_matches(docs, spec, sids, roots, vectors, query_vector), spec)
+def search(docs: DataFrame | Index, spec: SearchSpec, *, sids: DataFrame, roots: DataFrame, vectors: DataFrame | None = None, query_vector: list[float] | None = None) -> DataFrame:
+    """Candidates of a request: document columns, score and rank, from documents or from a stored index of them. ``vectors`` is (message_id, embedding)."""
+    index, rows = (docs, docs.live()) if isinstance(docs, Index) else (None, docs)
+    return _page(_matches(rows, spec, sids, roots, vectors, query_vector, index), spec)
 
 
 @dataclass(frozen=True)

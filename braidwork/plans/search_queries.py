@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.operators import chat, search
 from braidwork.sources import tables as t
 
+from braidwork.sources.folders import shared_folder
+from braidwork.sources.postings import Index
+
 from .registry import Registry
 
 Q = Registry()
@@ -68,18 +73,65 @@ for _k, _q in (("any", ANY), ("phrase", WORDS), ("prefix", PREFIX), ("fuzzy", FU
 SPEC = search.SearchSpec(query=WORDS, site_id=1, channel_types=(), after=1704067200.0, before=1706400000.0)
 
 
+_built: dict[tuple[object, ...], Index] = {}
+
+
+def index_of(s: SparkSession, d: str) -> Index:
+    """The stored index of a folder's documents: written by the first query of a session that needs it, read by the others. Other files there mean another index."""
+    docs = t.search_docs(s, d)
+    key = (s.sparkContext.applicationId, d, *sorted(docs.inputFiles()))
+    if key not in _built:
+        index = Index(s, f"{shared_folder(s)}/index-{uuid.uuid4().hex}")
+        index.write(docs, "first", 1)
+        _built[key] = index
+    return _built[key]
+
+
 def _tiered(s: SparkSession, d: str) -> DataFrame:
     seen = t.search_docs(s, d).where(search.predicates(SPEC))
     n, avgdl = search.corpus_size(seen)
     return search.top_k(search.tiered(search.postings(seen), SPEC.query, n, avgdl), 20)
 
 
+def _tiered_stored(s: SparkSession, d: str) -> DataFrame:
+    """The same from the stored index."""
+    index = index_of(s, d)
+    return search.stored_top(index, index.live().where(search.predicates(SPEC)), SPEC.query, 20)
+
+
 _SEEN = "seen AS (SELECT * FROM search_docs WHERE site_id = 1 AND NOT is_deleted AND created_at >= TIMESTAMP '2024-01-01' AND created_at < TIMESTAMP '2024-01-28')"
 _TIERED = f", {_SEEN}, " + _post("seen", "message_id") + ", " + _legs(WORDS, WORDS, WORDS, WORDS) + """, tiers AS (SELECT doc, round(sum(w * score), 6) AS score FROM (
       SELECT doc, 10 AS w, score FROM leg_phrase UNION ALL SELECT doc, 5, score FROM leg_any UNION ALL SELECT doc, 3, score FROM leg_prefix UNION ALL SELECT doc, 1, score FROM leg_fuzzy) GROUP BY doc)"""
 _TOP = " SELECT doc, score, row_number() OVER (ORDER BY score DESC, doc) AS rank FROM tiers ORDER BY score DESC, doc LIMIT 20"
 Q.add("lexical_tiered_topk", _tiered, t.with_views(_TIERED + _TOP, "search_docs"))
 
+Q.add("lexical_tiered_stored", _tiered_stored, Q.oracle["lexical_tiered_topk"])
+
+
+def _stored_fuzzy(s: SparkSession, d: str) -> DataFrame:
+    index = index_of(s, d)
+    return search.stored_fuzzy(index, index.live(), search.query_words(FUZZY)).select("doc", F.round("score", 6).alias("score"))
+
+
+Q.add("lexical_fuzzy_stored", _stored_fuzzy, Q.oracle["lexical_fuzzy"])
+
+
+def _merged(s: SparkSession, d: str) -> DataFrame:
+    """All matches from an index that was written in parts, with rows written twice, changed and deleted ones, and merged."""
+    docs = t.search_docs(s, d)
+    parts, whole = (Index(s, f"{shared_folder(s)}/index-{uuid.uuid4().hex}") for _ in range(2))
+    parts.write(docs.withColumn("text", F.concat(F.lit("thanedble attion "), "text")).where("message_id % 3 = 0"), "old", 1)
+    parts.write(docs.where("message_id % 2 = 0"), "even", 2)
+    parts.delete(docs.where("message_id % 5 = 0"), "gone", 3)
+    parts.write(docs.where("message_id % 2 <> 0 or message_id % 5 = 0"), "rest", 4)
+    parts.merge(whole, "merged", 5)
+    seen = lambda i: i.live().where(search.predicates(SPEC))
+    a, b = (search.stored_tiers(i, seen(i), SPEC.query) for i in (parts, whole))
+    return a.join(b.select("doc", F.col("score").alias("merged")), "doc", "full")
+
+
+Q.add("lexical_index_segments", _merged, t.with_views(_TIERED + " SELECT doc, score, score AS merged FROM tiers", "search_docs"))
+
 
 def _query_vector(s: SparkSession, d: str) -> list[float]:
     return t.table(s, d, "embeddings").where("vec_id = 0").select("embedding").first()[0]
@@ -171,11 +223,11 @@ def _tiered_all(s: SparkSession, d: str) -> DataFrame:
     return search.tiered(search.postings(seen), SPEC.query, n, avgdl)
 
 
-def _request(s: SparkSession, d: str) -> DataFrame:
+def _request(s: SparkSession, d: str, stored: bool = False) -> DataFrame:
     """A whole hybrid request: access, filters, both legs, rank fusion and a page."""
     vectors = t.table(s, d, "embeddings").select(F.col("vec_id").alias("message_id"), "embedding")
     spec = search.SearchSpec(query=WORDS, site_id=1, channel_types=(), methods=("lexical", "semantic"), fusion="rrf")
-    out = search.search(t.search_docs(s, d), spec, sids=chat.allowed_sids(t.members(s, d), 2), roots=t.search_docs(s, d).where("author_archive_id = 3").select("thread_root_id"), vectors=vectors, query_vector=_query_vector(s, d))
+    out = search.search(index_of(s, d) if stored else t.search_docs(s, d), spec, sids=chat.allowed_sids(t.members(s, d), 2), roots=t.search_docs(s, d).where("author_archive_id = 3").select("thread_root_id"), vectors=vectors, query_vector=_query_vector(s, d))
     return search.positions(out).select("message_id", "score", "rank", F.col("sort_values")[0].alias("place"))
 
 
@@ -189,3 +241,4 @@ Q.add(
       p AS (SELECT message_id, score, row_number() OVER (ORDER BY score DESC, message_id) AS rank FROM f)
       SELECT message_id, score, rank, rank AS place FROM p WHERE rank <= 20""", "members", "search_docs"),
 )
+Q.add("search_request_stored", lambda s, d: _request(s, d, stored=True), Q.oracle["search_request"])
