@@ -291,13 +291,22 @@ def top_k(scored: DataFrame, k: int, *, key: str = "doc", direction: str = "desc
     return best.withColumn("rank", F.row_number().over(Window.orderBy(order, key)))
 
 
+def _length(v: Column) -> Column:
+    return F.sqrt(F.aggregate(F.transform(v, lambda a: a.cast("double") * a.cast("double")), F.lit(0.0), lambda a, b: a + b))
+
+
+def _product(v: Column, q: Column) -> Column:
+    return F.aggregate(F.zip_with(v, q, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda a, b: a + b)
+
+
 def cosine(v: Column, query: list[float]) -> Column:
     """In double precision; null if a side has no length."""
-    q = F.lit([float(x) for x in query])
-    add = lambda a, b: a + b
-    dot = F.aggregate(F.zip_with(v, q, lambda a, b: a.cast("double") * b), F.lit(0.0), add)
-    own = F.sqrt(F.aggregate(F.transform(v, lambda a: a.cast("double") * a.cast("double")), F.lit(0.0), add))
-    return dot / F.nullif(own * math.sqrt(sum(x * x for x in query)), F.lit(0.0))
+    return _product(v, F.lit([float(x) for x in query])) / F.nullif(_length(v) * math.sqrt(sum(x * x for x in query)), F.lit(0.0))
+
+
+def cosine_of(v: Column, q: Column) -> Column:
+    """The same for two columns."""
+    return _product(v, q) / F.nullif(_length(v) * _length(q), F.lit(0.0))
 
 
 def knn(vectors: DataFrame, query: list[float], k: int, *, key: str = "vec_id", vector: str = "embedding") -> DataFrame:

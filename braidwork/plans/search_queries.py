@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from braidwork.operators import chat, search
@@ -12,6 +12,7 @@ from braidwork.sources import tables as t
 
 from braidwork.sources.folders import shared_folder
 from braidwork.sources.postings import Index
+from braidwork.sources.vectors import VectorIndex
 
 from .registry import Registry
 
@@ -143,6 +144,34 @@ Q.add("knn_exact", lambda s, d: search.knn(t.table(s, d, "embeddings"), _query_v
 Q.add("knn_filtered", lambda s, d: search.knn(t.table(s, d, "embeddings").where("label = 3"), _query_vector(s, d), 40), f"WITH {_COS} SELECT doc, score, round(1 - score, 6) AS distance FROM v WHERE label = 3 ORDER BY score DESC, doc LIMIT 40")
 
 
+_vectors: dict[tuple[object, ...], VectorIndex] = {}
+
+
+def vector_index_of(s: SparkSession, d: str) -> VectorIndex:
+    """As ``index_of``, of a folder's vectors."""
+    rows = t.table(s, d, "embeddings")
+    key = (s.sparkContext.applicationId, d, *sorted(rows.inputFiles()))
+    if key not in _vectors:
+        _vectors[key] = VectorIndex.write(rows, f"{shared_folder(s)}/vectors-{uuid.uuid4().hex}")
+    return _vectors[key]
+
+
+def _recall(s: SparkSession, d: str) -> DataFrame:
+    """Of ten queries, the mean share of the exact 40 best that the index finds when it reads a fifth of all vectors, and whether it is 0.9 at least."""
+    index, rows = vector_index_of(s, d), t.table(s, d, "embeddings")
+    queries = {r["vec_id"]: r["embedding"] for r in rows.where("vec_id % 7 = 0 and vec_id < 70").select("vec_id", "embedding").collect()}
+    rerank = sum(index.sizes.values()) // 5
+    known = s.createDataFrame([(q, [float(x) for x in v]) for q, v in queries.items()], "query long, q array<double>")
+    exact = rows.join(F.broadcast(known)).select("query", F.col("vec_id").alias("doc"), F.round(search.cosine_of(F.col("embedding"), F.col("q")), 6).alias("score"))
+    best = exact.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "doc"))).where("r <= 40")
+    got = index.search(queries, 40, rerank, 0.9).select("query", "doc", F.lit(1).alias("hit"))
+    counted = best.join(got, ["query", "doc"], "left").agg(F.count("*").alias("wanted"), F.count("hit").alias("hits"))
+    return counted.select("wanted", (F.col("hits") >= 0.9 * F.col("wanted")).alias("found"), F.lit(4 * rerank < rows.count()).alias("under_a_quarter"))
+
+
+Q.add("knn_approximate_recall", _recall, "SELECT 40 * count(*) AS wanted, TRUE AS found, TRUE AS under_a_quarter FROM embeddings WHERE vec_id % 7 = 0 AND vec_id < 70")
+
+
 def _hybrid_legs(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     lexical = search.top_k(_leg("any", ANY)(s, d), 100).select("doc", "score")
     return lexical, search.knn(t.table(s, d, "embeddings"), _query_vector(s, d), 100).select("doc", "score")
