@@ -108,6 +108,8 @@ class VectorIndex:
 
     def candidates(self, queries: dict[int, list[float]], rerank: int, share: float, allowed: DataFrame | None = None) -> DataFrame:
         """(query, key, list, near): of each query the best ``rerank`` rows by their codes. ``queries`` are a few vectors; ``allowed`` (key) filters first."""
+        if not self.sizes:
+            return self.spark.createDataFrame([], "query long, key long, list int, near double")
         known = {q: np.array(v, dtype=np.float64) / (np.sqrt(np.dot(v, v)) or 1.0) for q, v in queries.items()}
         lists = {q: self.probed(v, share) for q, v in known.items()}
         read = self.rows().select("key", "code", "list").where(F.col("list").isin(sorted({x for own in lists.values() for x in own})))
