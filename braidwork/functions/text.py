@@ -167,7 +167,8 @@ def paragraphs(text: Column) -> Column:
 
 def prose_normalized(text: Column) -> Column:
     """Lower case, without list marks, numbering and punctuation, for comparing extractions."""
-    out = F.regexp_replace(F.lower(text), r"(?m)^\s*(?:[•*-]|[0-9]+\.)\s+", "")
+    # Blanks before a mark are those of its own line: lines before it go when blanks collapse.
+    out = F.regexp_replace(F.lower(text), r"(?m)^[ \t\x0b\f]*(?:[•*-]|[0-9]+\.)\s+", "")
     return collapsed(F.regexp_replace(out, r"(?U)[^\w\s]", ""))
 
 

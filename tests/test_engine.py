@@ -359,12 +359,20 @@ def test_the_source_row_decides(spark, chats, actions):
 def test_long_texts_take_linear_time(spark):
     n = 200_000
     texts = [" " * n, "\u2003" * n + "x" + "\u3000" * n, "<" * n, "<b>" * n + "end", "a." * n, "\n" * n]
+    texts += ["1-" * n, "{" * n, "please send to " * (n // 15), "a " * n]
     t, began = F.col("t"), time.time()
-    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", x.collapsed_ends(t).alias("ends"), x.clean_message(t).alias("clean")).orderBy("i").collect()
+    rest = [x.is_meta_response(t), x.is_inquiry(t), x.is_send_action(t), x.send_recipient(t), x.message_text(t), x.is_suspicious(t), x.numeric_tokens(t), x.prose_normalized(t), F.size(x.paragraphs(t))]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", x.collapsed_ends(t).alias("ends"), x.clean_message(t).alias("clean"), *[c.alias(f"c{k}") for k, c in enumerate(rest)]).orderBy("i").collect()
     assert time.time() - began < 60
     assert [got[i]["ends"] for i in (0, 1, 5)] == ["", "x", ""] and [got[i]["clean"] for i in (0, 2, 3)] == ["", "<" * n, "end"]
 
 
+def test_marks_of_prose(spark):
+    texts = {"\n\n  - one\n\n* two\r\n12. three - four": "one two three four", "1.\n\n2.\nx": "x", " \t- a": "a", "a - b.": "a b"}
+    got = spark.createDataFrame([(k,) for k in texts], "t string").select("t", x.prose_normalized(F.col("t")).alias("p")).collect()
+    assert {r["t"]: r["p"] for r in got} == {k: v for k, v in texts.items()}
+
+
 def test_embedded(spark):
     docs = spark.createDataFrame([(i, "a" * i if i else None) for i in range(7)], "id long, text string").coalesce(1)
     seen = spark.sparkContext.accumulator(0)
