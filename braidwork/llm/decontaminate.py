@@ -6,8 +6,8 @@ the window's words are hit, and the state names the items that hold it. A word t
 automaton, so only runs of item words of at least the shortest window are streamed.
 
 Items are read as pieces that overlap by a window less one word, and pieces are dealt to blocks of about
-``BLOCK_WORDS``. One automaton, of one block, is broadcast at a time; more items mean more passes, not a larger
-broadcast. Words are told apart by 64-bit hashes.
+``BLOCK_WORDS``. The hits of each further block are written before the next automaton is built, so two at most are held at a
+time, that of the first block and one more; more items mean more passes, not a larger broadcast. Words are told apart by 64-bit hashes.
 
 Defined results: null and empty texts have no words and are never hit; an item without words or without an
 item_id has no window; item ids that occur twice count once; repeated rows each get their result.
@@ -22,10 +22,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, only_listed, span_hashes, text_chunks, word_spans
+from .common import cut, discard, only_listed, span_hashes, text_chunks, word_spans
 
 WINDOW = 13
 #: Words of items in one automaton: it takes some hundreds of bytes a word.
@@ -197,7 +198,7 @@ def _matcher(blob: object, named: str) -> Callable[[Iterator[pa.RecordBatch]], I
     return match
 
 
-def _blocks(items: DataFrame, window: int, block_words: int) -> Iterator[object]:
+def _blocks(items: DataFrame, window: int, block_words: int) -> Iterator[Broadcast[bytes]]:
     """Broadcasts, a block each, of (sorted word hashes, automaton, shortest window), one a block."""
     spark = items.sparkSession
     pieces = cut(item_pieces(items, window, max(block_words // 4, 2 * window)))
@@ -218,19 +219,26 @@ ADDED = "n_words long, hit_starts array<long>, hit_ends array<long>, items array
 def matches(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(row struct of ``docs``, n_words, hit_starts, hit_ends, items): hit spans in words, disjoint and in order if there is one block.
 
-    With several blocks the rows are numbered in a written table, and each block is a pass over it; only the numbers, spans and items
+    With several blocks the rows are numbered in a written table, and each block is a pass over it, whose hits are written; only the numbers, spans and items
     of rows that a further block hits are shuffled, and of the rows themselves only those."""
     packed = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
-    blocks = list(_blocks(items, window, block_words))
-    if len(blocks) > 1:
+    blocks = _blocks(items, window, block_words)
+    first_block, block = next(blocks), next(blocks, None)
+    several = block is not None
+    if several:
         packed = cut(packed.withColumn("number", F.monotonically_increasing_id()))
     schema = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in packed.schema)}, {ADDED}"
-    passes = [packed.mapInArrow(_matcher(b, "text"), schema) for b in blocks]
-    first = passes[0].drop("text")
-    if len(blocks) == 1:
+    first = packed.mapInArrow(_matcher(first_block, "text"), schema).drop("text")
+    if not several:
         return first
-    more = [p.where(F.size("items") > 0).select("number", F.arrays_zip("hit_starts", "hit_ends").alias("spans"), "items") for p in passes[1:]]
+    more = []
+    while block is not None:
+        found = packed.mapInArrow(_matcher(block, "text"), schema).where(F.size("items") > 0)
+        more.append(cut(found.select("number", F.arrays_zip("hit_starts", "hit_ends").alias("spans"), "items")))
+        block.destroy()
+        block = next(blocks, None)
     hits = cut(functools.reduce(DataFrame.union, more).groupBy("number").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("more")))
+    discard(*more)
     flagged = only_listed(first, "number", hits, flag=True)
     spans = F.array_sort(F.concat(F.arrays_zip("hit_starts", "hit_ends"), F.coalesce("spans", F.array().cast("array<struct<hit_starts:bigint,hit_ends:bigint>>"))))
     met = flagged.where("listed").join(hits, "number", "left").select("row", "n_words", spans.alias("spans"), F.array_distinct(F.concat("items", F.coalesce("more", F.array().cast("array<bigint>")))).alias("items"))
