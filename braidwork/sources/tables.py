@@ -11,7 +11,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "conversations")
+    return messages_of(table(spark, d, "conversations"))
+
+
+def messages_of(c: DataFrame) -> DataFrame:
+    """Of the turns of conversations, from a table or a stream."""
     root = F.col("conv_id") * 1000 + 1
     plain = (F.col("turn") == 0) | (F.col("turn") % 3 == 2)
     hidden = F.col("turn") == 6
