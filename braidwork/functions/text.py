@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import reduce
+from html.entities import name2codepoint
 from operator import or_
 
 from pyspark.sql import Column
@@ -35,16 +37,62 @@ def tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-#: The entities that messages contain.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+def _pieces(text: Column, pattern: str, replaced: Callable[[Column], Column]) -> Column:
+    """The text with what matches replaced: it is cut into the matches and what lies between, in one pass."""
+    found = F.regexp_extract_all(text, F.lit(f"(?s)({pattern}|.)"), F.lit(1))
+    return F.array_join(F.transform(found, replaced), "")
+
+
+def unescaped(text: Column) -> Column:
+    """Entities of HTML 4 and numbers of characters as the characters, once; what is no entity stays.
+
+    A number that is no character (0, surrogates, beyond Unicode) is U+FFFD."""
+    names = F.create_map(*[F.lit(v) for name, point in name2codepoint.items() for v in (f"&{name};", chr(point))])
+
+    def character(piece: Column) -> Column:
+        digits = F.regexp_extract(piece, "^&#([0-9]{1,7});$", 1)
+        hexed = F.regexp_extract(piece, "^&#[xX]([0-9A-Fa-f]{1,6});$", 1)
+        point = F.coalesce(F.nullif(digits, F.lit("")).cast("long"), F.conv(F.nullif(hexed, F.lit("")), 16, 10).cast("long"))
+        known = (point > 0) & (point < 0x110000) & ~point.between(0xD800, 0xDFFF)
+        number = F.decode(F.unhex(F.lpad(F.hex(F.when(known, point).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
+        return F.when(~piece.startswith("&") | (F.length(piece) < 3), piece).when(point.isNotNull(), number).otherwise(F.coalesce(F.try_element_at(names, piece), piece))
+
+    return F.when(text.contains("&"), _pieces(text, "[^&]+|&#?[0-9A-Za-z]{1,31};", character)).otherwise(text)
+
+
+#: The characters of Windows-1252 for the bytes 80 to 9F that it gives another meaning.
+WINDOWS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+_BYTES = "".join(chr(b) for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))
+_NEXT = f"[\u0080-¿{WINDOWS}]"
+#: What UTF-8 looks like if its bytes are read as Latin-1 or Windows-1252. Sequences that begin with an accented A, or are
+#: longer than two, are sure; those of two that begin with another capital may be right text, such as a name in quotes.
+_SURE = f"[ÂÃ]{_NEXT}|[à-ï]{_NEXT}{{2}}|[ð-ô]{_NEXT}{{3}}"
+_OTHER = f"[Ä-ß]{_NEXT}"
+_IN_A_ROW = f"(?:{_OTHER}){{3}}"
+
+
+def repaired(text: Column) -> Column:
+    """The text without what reading UTF-8 as Latin-1 or Windows-1252 has done to it, once or twice; right text stays.
+
+    Each sequence of characters that spells the bytes of one character becomes that character. Sequences of two that begin with a
+    capital other than an accented A count only if the text has three in a row, or sure ones besides; when in doubt all stays."""
+    return _repaired(_repaired(text))
+
+
+def _repaired(text: Column) -> Column:
+    def character(piece: Column) -> Column:
+        seen = piece.rlike(f"^(?:{_SURE}|{_OTHER})$")
+        raw = F.encode(F.when(seen, F.translate(piece, WINDOWS, _BYTES)).otherwise(F.lit("")), "ISO-8859-1")
+        return F.when(seen, F.coalesce(F.try_validate_utf8(raw.cast("string")), piece)).otherwise(piece)
+
+    whole = _pieces(text, f"{_SURE}|{_OTHER}|[^Â-ô]+", character)
+    return F.when(text.rlike(f"{_SURE}|{_IN_A_ROW}"), whole).otherwise(text)
 
 
 def clean_message(text: Column) -> Column:
-    """Emoji out, entities to characters, tags out, blanks collapsed; null is empty."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), P.EMOJI, "")
-    for entity, char in ENTITIES:
-        out = F.replace(out, F.lit(entity), F.lit(char))
-    return collapsed(without_tags(out))
+    """Broken encoding mended, emoji out, entities to characters, tags out, blanks collapsed; null is empty."""
+    out = F.regexp_replace(repaired(F.coalesce(text, F.lit(""))), P.EMOJI, "")
+    return collapsed(without_tags(unescaped(out)))
 
 
 def without_tags(text: Column) -> Column:

@@ -48,10 +48,17 @@ Q.add(
     f"WITH {_ASKED} SELECT conv_id, turn, regexp_replace(q, '(?i)\\bDana\\b', 'you', 'g') AS q FROM asked",
 )
 
+#: The entities that the pages contain.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 _UNESCAPED = "html"
-for _e, _c in x.ENTITIES:
+for _e, _c in ENTITIES:
     _UNESCAPED = f"replace({_UNESCAPED}, '{_e}', '{_c.replace(chr(39), chr(39) * 2)}')"
 _CLEANED = f"trim(regexp_replace(regexp_replace({_UNESCAPED}, '<[^>]+>', '', 'g'), '\\s+', ' ', 'g'))"
+Q.add(
+    "mojibake_repair",
+    lambda s, d: t.table(s, d, "documents").select("doc_id", "text", F.decode(F.encode("text", "UTF-8"), "ISO-8859-1").alias("broken")).select("doc_id", x.repaired(F.col("broken")).alias("mended"), x.repaired(F.col("text")).alias("kept")),
+    "SELECT doc_id, text AS mended, text AS kept FROM documents",
+)
 Q.add("clean_text", lambda s, d: t.table(s, d, "pages").select("page_id", x.clean_message(F.col("html")).alias("cleaned")), f"SELECT page_id, {_CLEANED} AS cleaned FROM pages")
 
 
