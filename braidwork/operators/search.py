@@ -91,6 +91,22 @@ def authorised(docs: DataFrame, sids: DataFrame, roots: DataFrame) -> DataFrame:
     return both.where(F.coalesce("_a", F.lit(False)) | F.coalesce("_r", F.lit(False))).select(*docs.columns)
 
 
+def named(docs: DataFrame, modifiers: dict[str, list[str]], persons: DataFrame | None = None, channels: DataFrame | None = None) -> DataFrame:
+    """Documents of the authors and channels that the modifiers name, whatever the case; of any of several names.
+
+    ``persons`` is (im_archiveid, username), where the last part of a user name is a name too; ``channels`` is (sid, name). A name
+    that nobody has finds nothing; a kind of modifier without names, or without its table, restricts nothing."""
+    authors, places = ([n.lower() for n in modifiers.get(k, [])] for k in ("from", "in"))
+    if authors and persons is not None:
+        user = F.lower("username")
+        short = F.substring_index(F.substring_index(user, "[v]", -1), "_", -1)
+        found = persons.where(user.isin(authors) | short.isin(authors)).select(F.col("im_archiveid").alias("author_archive_id"))
+        docs = docs.join(found, "author_archive_id", "left_semi")
+    if places and channels is not None:
+        docs = docs.join(channels.where(F.lower("name").isin(places)).select("sid"), "sid", "left_semi")
+    return docs
+
+
 def postings(docs: DataFrame, key: str = "message_id", text: str = "text") -> DataFrame:
     """(doc, term, tf, positions, dl)"""
     words = docs.select(F.col(key).alias("doc"), tokens(F.col(text)).alias("t"))
@@ -379,9 +395,16 @@ def _order(spec: SearchSpec) -> list[tuple[str, str]]:
     return [("score" if spec.sort == "score" else "created_at", spec.direction), ("message_id", "asc")]
 
 
-def search(docs: DataFrame | Index, spec: SearchSpec, *, sids: DataFrame, roots: DataFrame, vectors: DataFrame | None = None, query_vector: list[float] | None = None) -> DataFrame:
-    """Candidates of a request: document columns, score and rank, from documents or from a stored index of them. ``vectors`` is (message_id, embedding)."""
+def search(
+    docs: DataFrame | Index, spec: SearchSpec, *, sids: DataFrame, roots: DataFrame, vectors: DataFrame | None = None, query_vector: list[float] | None = None,
+    persons: DataFrame | None = None, channels: DataFrame | None = None,
+) -> DataFrame:
+    """Candidates of a request: document columns, score and rank, from documents or from a stored index of them. ``vectors`` is (message_id, embedding).
+
+    Names of the spec's modifiers are looked up in ``persons`` and ``channels`` (see ``named``)."""
     index, rows = (docs, docs.live()) if isinstance(docs, Index) else (None, docs)
+    order = rows.columns
+    rows = named(rows, spec.modifiers, persons, channels).select(*order)
     return _page(_matches(rows, spec, sids, roots, vectors, query_vector, index), spec)
 
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from braidwork.functions import embedding
 from braidwork.operators import chat, search
 from braidwork.sources import tables as t
 
@@ -271,3 +272,29 @@ Q.add(
       SELECT message_id, score, rank, rank AS place FROM p WHERE rank <= 20""", "members", "search_docs"),
 )
 Q.add("search_request_stored", lambda s, d: _request(s, d, stored=True), Q.oracle["search_request"])
+
+
+def _names(s: SparkSession, d: str) -> DataFrame:
+    """Customers as authors, nations as channels."""
+    people = t.table(s, d, "customer").select(F.col("c_custkey").alias("im_archiveid"), F.col("c_name").alias("username"))
+    places = t.table(s, d, "nation").select(F.col("n_nationkey").alias("sid"), F.col("n_name").alias("name"))
+    names = {"from": [r["username"].upper() for r in people.where("im_archiveid in (3, 7, 8)").collect()], "in": [r["name"].lower() for r in places.where("sid % 3 = 1").collect()]}
+    return search.named(t.search_docs(s, d), names, people, places).select("message_id")
+
+
+Q.add(
+    "named_modifiers", _names,
+    t.with_views("""SELECT message_id FROM search_docs WHERE author_archive_id IN (SELECT c_custkey FROM customer WHERE c_name IN (SELECT c_name FROM customer WHERE c_custkey IN (3, 7, 8)))
+      AND sid IN (SELECT n_nationkey FROM nation WHERE n_name IN (SELECT n_name FROM nation WHERE n_nationkey % 3 = 1))""", "search_docs"),
+)
+
+
+def _hashed(s: SparkSession, d: str) -> DataFrame:
+    """Vectors of all documents by the default embedder, with weights of all: their size, and whether they are of length one."""
+    docs = t.table(s, d, "documents").select("doc_id", "text")
+    got = embedding.embedded(docs, "doc_id", embedding.weights(docs, "doc_id"))
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
+    return got.select("doc_id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("n"), (F.abs(length - 1) < 1e-6).alias("unit"))
+
+
+Q.add("embed_hashed", _hashed, r"SELECT doc_id, CASE WHEN text IS NOT NULL THEN 384 END AS n, CASE WHEN text IS NOT NULL THEN regexp_matches(text, '[\p{L}\p{N}]') END AS unit FROM documents")
