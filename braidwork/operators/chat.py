@@ -35,9 +35,15 @@ def _chat(messages: DataFrame, streams: DataFrame, persons: DataFrame, sid: int
     return _authored(m.join(s, F.col("sid") == F.col("stream")), persons)
 
 
+def _in_order(rows: DataFrame, one: bool, *by: str | Column) -> DataFrame:
+    """Rows of one stream or thread in order; those of all streams are left as they come, as nobody reads them from end to end."""
+    return rows.orderBy(*by) if one else rows
+
+
 def by_duration(messages: DataFrame, streams: DataFrame, persons: DataFrame, start: datetime, end: datetime, sid: int | None = None) -> DataFrame:
-    """Both ends included, in id order."""
-    return _rows(_chat(messages, streams, persons, sid).where(F.col("messagetime").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))), "id").orderBy("id")
+    """Both ends included; of one stream in id order."""
+    within = F.col("messagetime").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))
+    return _in_order(_rows(_chat(messages, streams, persons, sid).where(within), "id"), sid is not None, "id")
 
 
 def last_n(messages: DataFrame, streams: DataFrame, persons: DataFrame, n: int, sid: int | None = None) -> DataFrame:
@@ -46,27 +52,30 @@ def last_n(messages: DataFrame, streams: DataFrame, persons: DataFrame, n: int,
 
 
 def unread(messages: DataFrame, streams: DataFrame, members: DataFrame, persons: DataFrame, archive_id: int, sid: int | None = None) -> DataFrame:
-    """Others' root messages after the reader's pointer, newest first."""
+    """Others' root messages after the reader's pointer; of one stream newest first."""
     me = members.where((F.col("archiveid") == archive_id) & ~F.col("isdeleted")).select(F.col("sid").alias("my_sid"), "lastreadsmsgid")
     rows = _chat(messages, streams, persons, sid).where((F.col("archiveid") != archive_id) & (F.col("commentvia") == 0))
-    return _rows(rows.join(me, (F.col("sid") == F.col("my_sid")) & (F.col("smsgid") > F.col("lastreadsmsgid"))), "id").orderBy(F.desc("id"))
+    after = rows.join(me, (F.col("sid") == F.col("my_sid")) & (F.col("smsgid") > F.col("lastreadsmsgid")))
+    return _in_order(_rows(after, "id"), sid is not None, F.desc("id"))
 
 
 def parents(messages: DataFrame, streams: DataFrame, persons: DataFrame, smsgid: int | None = None) -> DataFrame:
-    """Messages that can head a thread, with or without a known author, newest first."""
+    """Messages that can head a thread, with or without a known author; for one id newest first."""
     m = messages.where(visible(F.col("msgtype"), PARENT_HIDDEN_TYPES) & ~F.col("isdeleted") & (F.lit(True) if smsgid is None else F.col("smsgid") == smsgid))
     s = streams.where(~F.col("isdeleted")).select(F.col("id").alias("stream"))
-    return _rows(_authored(m.join(s, F.col("sid") == F.col("stream")), persons, "left"), "smsgid").orderBy(F.desc("messagetime"), "smsgid")
+    rows = _rows(_authored(m.join(s, F.col("sid") == F.col("stream")), persons, "left"), "smsgid")
+    return _in_order(rows, smsgid is not None, F.desc("messagetime"), "smsgid")
 
 
 def thread(messages: DataFrame, persons: DataFrame, root: int | None = None, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
-    """Replies that share or comment the root, without equal rows, with the root's id; of all roots if none is given."""
+    """Replies that share or comment the root, without equal rows, with the root's id, in order of time; of all roots, in no order, if none is given."""
     m = messages.where(F.col("msgtype").isin(*THREAD_TYPES) & ~F.col("isdeleted"))
     if start is not None and end is not None:
         m = m.where(F.col("messagetime").between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")))
     both = m.select("*", F.explode(F.array_distinct(F.array("sharemsgid", "commentvia"))).alias("root")).where("root <> 0")
     both = both if root is None else both.where(F.col("root") == root)
-    return _rows(_authored(both, persons.where(~F.col("isdeleted"))), "root").distinct().orderBy("messagetime", "root", "message")
+    rows = _rows(_authored(both, persons.where(~F.col("isdeleted"))), "root").distinct()
+    return _in_order(rows, root is not None, "messagetime", "root", "message")
 
 
 def thread_last_n(messages: DataFrame, persons: DataFrame, n: int, root: int | None = None) -> DataFrame:

@@ -237,8 +237,9 @@ def request_error(start: Column, end: Column, n_messages: Column) -> Column:
 
 
 def segments(summaries: DataFrame, chats: DataFrame) -> DataFrame:
-    """Both kinds (ref_id, start, n, text) in order of start, with their type."""
-    return summaries.withColumn("type", F.lit("summary")).unionByName(chats.withColumn("type", F.lit("chats"))).orderBy("ref_id", "start", "type")
+    """Both kinds (ref_id, start, n, text) with their type; those of a ref lie together, in order of start."""
+    both = summaries.withColumn("type", F.lit("summary")).unionByName(chats.withColumn("type", F.lit("chats")))
+    return both.repartition("ref_id").sortWithinPartitions("ref_id", "start", "type")
 
 
 def segment_metadata(rows: DataFrame, key: str, user: str, at: str, *ties: str) -> DataFrame:

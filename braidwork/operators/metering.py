@@ -12,20 +12,32 @@ def price_list(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(PRICES), "model_no long, model_id int, model_name string, p_in double, p_cached double, p_out double").select("model_no", "model_id", "model_name", *[F.col(c).cast("decimal(12,6)").alias(c) for c in ("p_in", "p_cached", "p_out")])
 
 
-def amount(inputs: Column, cached: Column, outputs: Column) -> Column:
-    """Exact, as decimal(36,12). Prices are per million tokens; cached tokens cost as input where a model has no price for them."""
-    n = lambda tokens: tokens.cast("decimal(20,0)")
-    total = n(inputs - cached) * F.col("p_in") + n(cached) * F.coalesce("p_cached", "p_in") + n(outputs) * F.col("p_out")
-    return total.cast("decimal(28,6)") * F.lit("0.000001").cast("decimal(7,6)")
+#: What an amount of 1 has of the whole units that are summed: prices have six digits and are per million tokens.
+UNITS = 10**12
+
+
+def units(inputs: Column, cached: Column, outputs: Column) -> Column:
+    """Cost in whole units, exact, as decimal(18,0), from whole prices in millionths. Cached tokens cost as input where a model has no price for them.
+
+    A call of over a million in the prices' currency is an overflow, which Spark reports."""
+    total = (inputs - cached) * F.col("_in") + cached * F.coalesce("_cached", "_in") + outputs * F.col("_out")
+    return total.cast("decimal(18,0)")
+
+
+def amount(of: Column) -> Column:
+    """Units as an exact amount."""
+    return of * F.lit("0.000000000001").cast("decimal(13,12)")
 
 
 def billed(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """``usage`` (model_no, input_tokens, cached_tokens, output_tokens, ...) with model and amount."""
-    return usage.join(F.broadcast(prices), "model_no").withColumn("amount", amount(F.col("input_tokens"), F.col("cached_tokens"), F.col("output_tokens")))
+    """``usage`` (model_no, input_tokens, cached_tokens, output_tokens, ...) with model, units and amount."""
+    whole = prices.withColumns({f"_{n}": (F.col(f"p_{n}") * 1_000_000).cast("long") for n in ("in", "cached", "out")})
+    rows = usage.join(F.broadcast(whole), "model_no").withColumn("units", units(F.col("input_tokens"), F.col("cached_tokens"), F.col("output_tokens")))
+    return rows.withColumn("amount", amount(F.col("units"))).drop("_in", "_cached", "_out")
 
 
 def rollup(rows: DataFrame, *by: str) -> DataFrame:
-    return rows.rollup(*by).agg(F.count("*").alias("calls"), F.round(F.sum("amount"), 4).cast("double").alias("amount"), F.sum("input_tokens").alias("input_tokens"))
+    return rows.rollup(*by).agg(F.count("*").alias("calls"), F.round(amount(F.sum("units")), 4).cast("double").alias("amount"), F.sum("input_tokens").alias("input_tokens"))
 
 
 def detail() -> Column:
