@@ -9,8 +9,10 @@ from functools import reduce
 from html.entities import name2codepoint
 from operator import or_
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import patterns as P
 
@@ -32,6 +34,18 @@ def normalize_query(text: str | None) -> str:
     return out
 
 
+@F.pandas_udf(StringType())
+def _compatible(texts: pd.Series) -> pd.Series:
+    return texts.str.normalize("NFKC")
+
+
+def normalized_query(text: Column) -> Column:
+    """``normalize_query`` as a column; an empty or null query is null. Only texts beyond ASCII leave the JVM's functions, as these have no NFKC."""
+    blank = lambda t: F.trim(F.regexp_replace(t, r"[\s\x1c-\x1f\x85\p{Z}]+", " "))
+    beyond = F.when(text.rlike(r"[^\x00-\x7f]"), text)
+    return F.nullif(blank(F.coalesce(_compatible(beyond), text)), F.lit(""))
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits."""
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")

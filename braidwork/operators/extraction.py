@@ -9,7 +9,8 @@ import json
 import re
 import xml.parsers.expat
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -18,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from braidwork.functions.text import is_suspicious, numeric_tokens
+from braidwork.sources.folders import shared_folder
 
 MAX_ROWS, MAX_COLUMNS, MAX_CELLS = 500_000, 2_000, 5_000_000
 MAX_PARAGRAPHS, MAX_SHEETS, MAX_NODES, MAX_ALIASES = 200_000, 200, 1_000_000, 1_000
@@ -468,6 +470,46 @@ def policy() -> Column:
     return F.when(reasons() == "", "accept").otherwise("fallback")
 
 
+# --- A second pass for what quality rejects ------------------------------------------------------------------
+
+Backend = Callable[[DataFrame], DataFrame]
+
+
+def routed(files: DataFrame, backends: Sequence[tuple[str, Backend]], key: str = "file_id") -> tuple[DataFrame, DataFrame]:
+    """Each file by the first backend whose blocks the policy accepts, else by the last: (attempts, blocks).
+
+    ``backends`` are names and functions from files to blocks (key, ordinal, type, text, has_provenance, valid_table, further columns).
+    Only files that the backend before had rejected, or had no block for, reach the next one. The blocks of a pass are written once, to the
+    checkpoint folder, so no backend runs twice; a pass that has no file left runs over none.
+
+    Of a file: backend (null if it has no blocks), status (accepted, fallback or failed), warnings of the blocks taken, and attempts, an
+    array of (backend, decision, reasons, warnings, overall_score) in order; a pass without blocks has the decision ``failed`` and nothing else.
+    Files whose key is null take no part; files that share a key are handed on together and count as one.
+    """
+    parts = ("backend", "decision", "reasons", "warnings", "overall_score")
+    shared_folder(files.sparkSession)
+    left = files.where(F.col(key).isNotNull())
+    passes, taken = [], []
+    for i, (name, backend) in enumerate(backends):
+        made = backend(left).checkpoint()
+        scored = quality(made, key).select(key, policy().alias("decision"), reasons().alias("reasons"), warnings().alias("warnings"), "overall_score")
+        tried = left.select(key).distinct().join(scored, key, "left")
+        tried = tried.select(key, F.lit(i).alias("_pass"), F.lit(name).alias("backend"), F.coalesce("decision", F.lit("failed")).alias("decision"), "reasons", "warnings", "overall_score").checkpoint()
+        passes.append(tried)
+        good = tried.where("decision = 'accept'") if i + 1 < len(backends) else tried
+        taken.append(made.join(good.select(key), key, "left_semi").withColumn("backend", F.lit(name)))
+        left = left.join(tried.where("decision <> 'accept'").select(key), key, "left_semi")
+    rows = reduce(DataFrame.unionByName, passes)
+    # As many entries as backends.
+    held = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_pass", *parts))).alias("all"))
+    last = F.element_at("all", -1)
+    attempts = held.select(
+        key, F.when(last["decision"] != "failed", last["backend"]).alias("backend"), F.when(last["decision"] == "accept", "accepted").otherwise(last["decision"]).alias("status"), last["warnings"].alias("warnings"),
+        F.transform("all", lambda a: F.struct(*[a[c].alias(c) for c in parts])).alias("attempts"),
+    )
+    return attempts, reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), taken)
+
+
 # --- Structure over blocks -----------------------------------------------------------------------------------
 
 

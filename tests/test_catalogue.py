@@ -13,7 +13,7 @@ from braidwork.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-SAMPLE = ("lexical_tiered_topk", "hybrid_minmax", "hybrid_rrf", "acl_filter", "thread_union", "message_map", "boundary_strength", "binpack", "coverage_gaps", "summary_subsume", "csv_cells", "quality_scores", "billing_rollup", "ext_as_of", "upsert_by_key", "delete_by_id", "delete_by_sid", "embed_batch", "search_request", "search_after_page2", "attachment_links", "document_ids", "summary_delta", "summary_extend", "summary_cache_upsert", "request_guards", "segment_chats", "first_title", "ext_full_join", "stream_boundaries", "stream_batches", "backfill_resumed")
+SAMPLE = ("lexical_tiered_topk", "hybrid_minmax", "hybrid_rrf", "acl_filter", "thread_union", "message_map", "boundary_strength", "binpack", "coverage_gaps", "summary_subsume", "csv_cells", "quality_scores", "billing_rollup", "ext_as_of", "upsert_by_key", "delete_by_id", "delete_by_sid", "embed_batch", "search_request", "search_after_page2", "attachment_links", "document_ids", "summary_delta", "summary_extend", "summary_cache_upsert", "request_guards", "segment_chats", "first_title", "ext_full_join", "stream_boundaries", "stream_batches", "backfill_resumed", "vectors_packed", "tag_rows", "json_rows", "readable_files", "charset_detection", "routed_extraction")
 
 
 def rows(names, values):
