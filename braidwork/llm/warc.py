@@ -108,13 +108,13 @@ def write_monolithic(rows: DataFrame, root: str, archive_bytes: int = ARCHIVE_BY
 
 
 def inflated_records(source: BinaryIO, piece: int = 1 << 20) -> Iterator[bytes]:
-    """Records of a gzip file, be it one stream or many members, inflated once from front to back. Holds one record at a time."""
+    """Records of a gzip file, be it one stream or many members, inflated once from front to back. Holds one record and at most ``piece`` bytes beyond it, however far the stream is squeezed."""
     inflate, held = zlib.decompressobj(31), bytearray()
     need = None
     while data := source.read(piece):
         while data:
-            held += inflate.decompress(data)
-            data = inflate.unused_data if inflate.eof else b""
+            held += inflate.decompress(data, piece)
+            data = inflate.unused_data if inflate.eof else inflate.unconsumed_tail
             if inflate.eof:
                 inflate = zlib.decompressobj(31)
             start = 0

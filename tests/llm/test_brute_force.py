@@ -188,3 +188,43 @@ def test_a_domain_of_any_length_is_no_crash(spark):
     got = {r["doc_id"]: r for r in pii.pseudonymised(d, "key").collect()}
     assert [got[i]["n_found"] for i in (0, 1, 2)] == [0, 0, 1] and got[2]["text"].endswith("@" + "b." * 126 + "org now")
     assert all(got[i]["text"] == texts[i] for i in (0, 1))
+
+
+def test_words_in_common_of_gaps_of_any_length(monkeypatch):
+    from braidwork.llm import substring_dedup as s
+
+    def plain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        return row[-1]
+
+    rng = np.random.default_rng(3)
+    for room, short in ((s.GAP_BYTES, s.SHORT), (0, 8), (s.GAP_BYTES, 8)):
+        monkeypatch.setattr(s, "GAP_BYTES", room)
+        monkeypatch.setattr(s, "SHORT", short)
+        for _ in range(300):
+            words = int(rng.integers(1, 12))
+            a, b = rng.integers(0, words, rng.integers(0, 30)), rng.integers(0, words, rng.integers(0, 60))
+            assert s._edit_matches(a, b) == s._edit_matches(b, a) == plain(a.tolist(), b.tolist())
+    long = rng.integers(0, 3000, 20_000)
+    assert s._edit_matches(long, np.delete(long, np.arange(0, 20_000, 10))) == 18_000
+    assert s._edit_matches(long, long + 3000) == 0
+
+
+def test_records_are_inflated_in_pieces():
+    import gzip
+    import io
+
+    from braidwork.llm import warc
+
+    rows = [(i, f"u{i}", b"a" * n) for i, n in enumerate((0, 5, 3_000_000, 99, 70_000))]
+    made = [warc.record(i, u, p, "d", None, False) for i, u, p in rows]
+    one, many = gzip.compress(b"".join(made)), b"".join(map(gzip.compress, made))
+    for data in (one, many):
+        for piece in (64, 1000, 1 << 20):
+            assert list(warc.inflated_records(io.BytesIO(data), piece)) == made
+    with pytest.raises(ValueError, match="within a record"):
+        list(warc.inflated_records(io.BytesIO(gzip.compress(made[1][:-9]))))
