@@ -24,19 +24,23 @@ def _asked(s: SparkSession, d: str) -> DataFrame:
     return t.table(s, d, "conversations").select("conv_id", "turn", F.concat(lead, "text").alias("q"))
 
 
-_ASKED = "asked AS (SELECT conv_id, turn, l || text AS q FROM (SELECT *, list_extract([" + ", ".join(f"'{v}'" for v in LEADS) + "], CAST(turn % 8 + 1 AS INTEGER)) AS l FROM conversations))"
+# The oracle's classes and word ends know ASCII only, so ``f`` is the text in which they mean what they do in the patterns: letters that
+# fold to ASCII are folded, other word characters of all scripts are "_", which no pattern names, and blanks of all kinds are spaces.
+_BEYOND = r"[^\x00-\x7F\p{Pd}\p{Ps}\p{Pe}\p{Pi}\p{Pf}\p{Po}\p{S}\p{Z}\p{Cc}\p{Cf}\p{Co}\p{No}]|[\x{200C}\x{200D}\x{24B6}-\x{24E9}\x{1F130}-\x{1F149}\x{1F150}-\x{1F169}\x{1F170}-\x{1F189}]"
+_FOLDED = rf"regexp_replace(regexp_replace(translate(coalesce(q, ''), 'ſKıİ', 'skii'), '[\x0B\x{{85}}\p{{Z}}]', ' ', 'g'), '{_BEYOND}', '_', 'g')"
+_ASKED = f"asked AS (SELECT *, {_FOLDED} AS f FROM (SELECT conv_id, turn, l || text AS q FROM (SELECT *, list_extract([" + ", ".join(f"'{v}'" for v in LEADS) + "], CAST(turn % 8 + 1 AS INTEGER)) AS l FROM conversations)))"
 
 
-def _rx(patterns: tuple[str, ...], on: str = "q") -> str:
+def _rx(patterns: tuple[str, ...], on: str = "f") -> str:
     return "(" + " OR ".join(f"regexp_matches({on}, '(?i){p.replace(chr(39), chr(39) * 2)}')" for p in patterns) + ")"
 
 
 _UP = _rx(P.UPGRADE)
 Q.add(
     "meta_response", lambda s, d: _asked(s, d).select("conv_id", "turn", x.is_meta_response(F.col("q")).alias("meta")),
-    f"""WITH {_ASKED} SELECT conv_id, turn, trim(q) = '' OR {_rx(P.META_RESPONSE, 'lower(trim(q))')} OR (len(string_split_regex(trim(q), '\\s+')) <= 15 AND regexp_matches(lower(q), 'search|lookup') AND regexp_matches(lower(q), 'process|tool|request')) AS meta FROM asked""",
+    f"""WITH {_ASKED} SELECT conv_id, turn, trim(q) = '' OR {_rx(P.META_RESPONSE, 'trim(f)')} OR (len(string_split_regex(trim(q), '\\s+')) <= 15 AND regexp_matches(lower(q), 'search|lookup') AND regexp_matches(lower(q), 'process|tool|request')) AS meta FROM asked""",
 )
-Q.add("inquiry", lambda s, d: _asked(s, d).select("conv_id", "turn", x.is_inquiry(F.col("q")).alias("inquiry")), f"WITH {_ASKED} SELECT conv_id, turn, NOT {_UP} AND (trim(q) LIKE '%?' OR {_rx(P.QUESTION_START)} OR {_rx(P.INQUIRY)}) AS inquiry FROM asked")
+Q.add("inquiry", lambda s, d: _asked(s, d).select("conv_id", "turn", x.is_inquiry(F.col("q")).alias("inquiry")), f"WITH {_ASKED} SELECT conv_id, turn, NOT {_UP} AND (regexp_matches(f, '\\?\\s*$') OR {_rx(P.QUESTION_START)} OR {_rx(P.INQUIRY)}) AS inquiry FROM asked")
 Q.add("send_action", lambda s, d: _asked(s, d).select("conv_id", "turn", x.is_send_action(F.col("q")).alias("send")), f"WITH {_ASKED} SELECT conv_id, turn, NOT {_UP} AND {_rx(P.SEND_ACTION)} AS send FROM asked")
 Q.add(
     "send_recipient", lambda s, d: _asked(s, d).where(x.is_send_action(F.col("q"))).select("conv_id", "turn", x.send_recipient(F.col("q")).alias("recipient")),
@@ -198,15 +202,15 @@ Q.add(
 
 
 def _requests(s: SparkSession, d: str) -> DataFrame:
-    """The orders of a customer as a request."""
-    r = t.table(s, d, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").cast("timestamp_ntz").alias("a"), F.max("o_orderdate").cast("timestamp_ntz").alias("b"), F.sum("o_totalprice").cast("long").alias("n"))
+    """The orders of a customer as a request. Prices are summed in whole cents: a sum of doubles depends on the order of its rows, and then on either side of a whole number."""
+    r = t.table(s, d, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").cast("timestamp_ntz").alias("a"), F.max("o_orderdate").cast("timestamp_ntz").alias("b"), F.expr("sum(cast(round(o_totalprice * 100) as bigint)) div 100").alias("n"))
     return r.select("o_custkey", c.request_error(F.col("a"), F.col("b"), F.col("n") % 20_000).alias("error"), c.storable(F.nullif(F.col("n") % 3, F.lit(1)), F.col("n") % 2 > 0).alias("storable"))
 
 
 Q.add(
     "request_guards", _requests,
     """SELECT o_custkey, CASE WHEN date_diff('second', CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP)) > 93 * 86400 THEN 'more than 93 days' WHEN n % 20000 > 10000 THEN 'more than 10000 messages' END AS error, n % 3 < 2 AND n % 2 = 0 AS storable
-      FROM (SELECT o_custkey, min(o_orderdate) AS a, max(o_orderdate) AS b, CAST(trunc(sum(o_totalprice)) AS BIGINT) AS n FROM orders GROUP BY 1)""",
+      FROM (SELECT o_custkey, min(o_orderdate) AS a, max(o_orderdate) AS b, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) // 100 AS BIGINT) AS n FROM orders GROUP BY 1)""",
 )
 
 
