@@ -33,3 +33,12 @@ def test_letters_and_blanks_of_all_scripts(spark, tmp_path, name):
     if name == "inquiry":
         of = {TEXTS[i]: v for i, turn, v in got if turn == 5}
         assert of["do argabo"] and not of["Doó argabo"] and of["ready?\n"] and of["ready? "] and of[None] is False
+
+
+def test_sums_near_whole_numbers(spark, tmp_path):
+    cents = (10, 20, 70)  # as doubles one, or a little less, by their order
+    day = dt.datetime(2024, 1, 1)
+    orders = [(k, c / 100) for k, p in enumerate(itertools.permutations(cents)) for c in p]
+    got, want = both(spark, "request_guards", "orders", [(k, v, day) for k, v in orders], "o_custkey long, o_totalprice double, o_orderdate timestamp_ntz", tmp_path)
+    assert got == want
+    assert {x[2] for x in got} == {False}  # 1, not 0
