@@ -6,6 +6,7 @@ import re
 
 import duckdb
 
+from braidwork.functions import embedding
 from braidwork.plans import catalogue
 
 
@@ -21,3 +22,17 @@ def test_sketches_are_kept_by_flag_only(spark, tmp_path):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     sketches = [x for x in plan(got).splitlines() if "approx_count_distinct" in x and "keys=[" in x]
     assert sketches and all("l_partkey" not in re.search(r"keys=\[([^]]*)\]", x)[1] for x in sketches)
+
+
+def test_a_row_is_summed_before_it_is_shuffled(spark):
+    texts = [(i % 400, None if i % 7 == 0 else f"alpha beta w{i % 400} word{i}") for i in range(1200)]
+    docs = spark.createDataFrame(texts, "id long, text string")
+    whole = spark.createDataFrame([(k, " ".join(own) if own else None) for k in range(400) for own in [[t for i, t in texts if i == k and t]]], "id long, text string")
+    both = []
+    for rows, size in ((docs, "7"), (whole, "10000")):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = embedding.embedded(rows, "id", embedding.weights(rows, "id"))
+        assert "Generate" not in plan(got)
+        both.append(sorted(map(tuple, got.collect())))
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert both[0] == both[1] and len(both[0]) == 400
