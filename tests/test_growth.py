@@ -7,6 +7,7 @@ import re
 import duckdb
 
 from braidwork.functions import embedding
+from braidwork.operators import search
 from braidwork.plans import catalogue
 
 
@@ -36,3 +37,9 @@ def test_a_row_is_summed_before_it_is_shuffled(spark):
         both.append(sorted(map(tuple, got.collect())))
     spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert both[0] == both[1] and len(both[0]) == 400
+
+
+def test_near_terms_are_told_before_postings_are_shuffled(spark):
+    docs = spark.createDataFrame([(1, "quick brown"), (2, "brownie quack"), (3, "other words")], "doc_id long, text string")
+    got = search.fuzzy(search.postings(docs, "doc_id"), ["browne"], 3, 2.0)
+    assert "LeftSemi" not in plan(got) and {r["doc"] for r in got.collect()} == {1, 2}
