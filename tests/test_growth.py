@@ -9,6 +9,7 @@ import duckdb
 from braidwork.functions import embedding
 from braidwork.operators import search
 from braidwork.plans import catalogue
+from braidwork.sources import postings
 
 
 def plan(df):
@@ -43,3 +44,12 @@ def test_near_terms_are_told_before_postings_are_shuffled(spark):
     docs = spark.createDataFrame([(1, "quick brown"), (2, "brownie quack"), (3, "other words")], "doc_id long, text string")
     got = search.fuzzy(search.postings(docs, "doc_id"), ["browne"], 3, 2.0)
     assert "LeftSemi" not in plan(got) and {r["doc"] for r in got.collect()} == {1, 2}
+
+
+def test_terms_of_a_document_are_gathered_in_its_task(spark, monkeypatch):
+    monkeypatch.setattr(postings, "AT_ONCE", 3)
+    texts = {1: "b a b", 2: "", 3: "a " * 9, 4: "c a", 5: "d"}
+    words = spark.createDataFrame([(k, v.split()) for k, v in texts.items()], "doc long, t array<string>").coalesce(1)
+    got = [r for b in words.toArrow().combine_chunks().to_batches() for part in postings._by_term(iter([b])) for r in part.to_pylist()]
+    want = [{"doc": k, "dl": len(v.split()), "term": w, "positions": [i for i, x in enumerate(v.split()) if x == w]} for k, v in texts.items() for w in sorted(set(v.split()))]
+    assert sorted(got, key=str) == sorted(want, key=str)
