@@ -175,8 +175,14 @@ def encoded(rows: DataFrame, key: str, text: str, charset: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())
-            made = [(None, None) if t is None or c is None else (t.encode(c, "ignore"), c) for t, c in pairs]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(schema[0].type), pa.array([d for d, _ in made], pa.binary()), pa.array([None if c is None else d.decode(c) for d, c in made], pa.string())], schema=schema)
+            keys, made, start, size = batch.column(0), [], 0, 0
+            for i, (value, name) in enumerate(zip(batch.column(1), batch.column(2))):
+                t, c = value.as_py(), name.as_py()
+                data = None if t is None or c is None else t.encode(c, "ignore")
+                made.append((data, None if data is None else data.decode(c)))
+                size += len(data or b"")
+                if size > PIECE or i + 1 == batch.num_rows:  # not a whole batch's texts twice over
+                    yield pa.RecordBatch.from_arrays([keys[start : i + 1].cast(schema[0].type), pa.array([d for d, _ in made], pa.binary()), pa.array([x for _, x in made], pa.string())], schema=schema)
+                    made, start, size = [], i + 1, 0
 
     return rows.select(key, text, charset).mapInArrow(run, named)

@@ -9,7 +9,7 @@ import duckdb
 from braidwork.functions import embedding
 from braidwork.operators import search
 from braidwork.plans import catalogue
-from braidwork.sources import postings
+from braidwork.sources import files, postings
 
 
 def plan(df):
@@ -53,3 +53,14 @@ def test_terms_of_a_document_are_gathered_in_its_task(spark, monkeypatch):
     got = [r for b in words.toArrow().combine_chunks().to_batches() for part in postings._by_term(iter([b])) for r in part.to_pylist()]
     want = [{"doc": k, "dl": len(v.split()), "term": w, "positions": [i for i, x in enumerate(v.split()) if x == w]} for k, v in texts.items() for w in sorted(set(v.split()))]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_texts_are_encoded_in_pieces(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, None if i == 3 else f"é{i}" * 50, "latin-1") for i in range(20)], "id long, text string, charset string").coalesce(1)
+    seen = []
+    monkeypatch.setattr(files, "PIECE", 200)
+    kept = type(rows).mapInArrow
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda df, run, schema: seen.extend(b for x in df.toArrow().combine_chunks().to_batches() for b in run(iter([x]))) or kept(df, run, schema))
+    files.encoded(rows, "id", "text", "charset")
+    assert len(seen) > 3 and [x for b in seen for x in b.column(2).to_pylist()] == [r["text"] for r in rows.collect()]
+    assert [x for b in seen for x in b.column(0).to_pylist()] == list(range(20))
