@@ -346,6 +346,18 @@ def test_similar_passages_recall(spark):
     assert found[95] >= 0.95 and found[90] >= 0.9
 
 
+@pytest.mark.parametrize("pieces", [5, 24])
+def test_similar_passages_whose_pieces_are_elsewhere_are_found(spark, pieces):
+    """Each piece of at most 18 words of a passage is in further texts, some of which come before and after the two by any order."""
+    pairs, others = [], []
+    for n in range(12):
+        words = prose(80, 6100 + n)
+        pairs += [f"{prose(50, 6200 + n)} {words} {prose(50, 6300 + n)}", f"{prose(50, 6400 + n)} {edited(words, 20, n)} {prose(50, 6500 + n)}"]
+        others += [f"{prose(30, 100_000 + 10_000 * n + 100 * i + at)} {' '.join(words.split()[at : at + 18])} {prose(30, 300_000 + 10_000 * n + 100 * i + at)}" for i in range(pieces) for at in range(0, 80, 9)]
+    got = substring_dedup.passages(table(spark, list(enumerate(pairs + others)))).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in got} == {(2 * n + 1, 2 * n) for n in range(12)}
+
+
 def test_extension_crosses_changed_and_skipped_words():
     a = np.arange(40)
     b = np.concatenate([a[:10], [99], a[11:20], a[22:40]])  # one word differs, two are left out
