@@ -358,6 +358,21 @@ def test_similar_passages_whose_pieces_are_elsewhere_are_found(spark, pieces):
     assert {(r["doc_id"], r["other_id"]) for r in got} == {(2 * n + 1, 2 * n) for n in range(12)}
 
 
+def test_a_link_beside_others_of_its_texts_is_found(spark):
+    """Four texts in a row, each similar to the next in a passage of its own that holds one line of all: no link is lost for those of the first and the last."""
+    line = prose(12, 71)
+    parts = [(prose(30, 72 + i), prose(30, 82 + i)) for i in range(3)]
+    joint = [f"{a} {line} {b}" for a, b in parts]
+    held = [joint[:1], joint[:2], joint[1:], joint[2:]]
+    texts = [" ".join([prose(40, 90 + i)] + [f"{edited(x, 24, i)} {prose(40, 100 + 9 * i + j)}" for j, x in enumerate(own)]) for i, own in enumerate(held)]
+    d = table(spark, [*enumerate(texts), (9, prose(200, 120)), (10, texts[3])])
+    got = {(r["doc_id"], r["other_id"]) for r in substring_dedup.passages(d).collect()}
+    assert got >= {(1, 0), (2, 1), (3, 2), (10, 3)}
+    rows = {r["doc_id"]: r for r in substring_dedup.classes(d).collect()}
+    assert set(rows) == {0, 1, 2, 3, 10} and {r["class_id"] for r in rows.values()} == {0}
+    assert [rows[i]["n_links"] for i in (0, 1, 2, 3, 10)] == [sum(i in x for x in got) for i in (0, 1, 2, 3, 10)] and all(r["n_words"] >= 50 for r in rows.values())
+
+
 def test_extension_crosses_changed_and_skipped_words():
     a = np.arange(40)
     b = np.concatenate([a[:10], [99], a[11:20], a[22:40]])  # one word differs, two are left out
