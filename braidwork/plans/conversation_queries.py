@@ -209,7 +209,7 @@ def _requests(s: SparkSession, d: str) -> DataFrame:
 
 Q.add(
     "request_guards", _requests,
-    """SELECT o_custkey, CASE WHEN date_diff('second', CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP)) > 93 * 86400 THEN 'more than 93 days' WHEN n % 20000 > 10000 THEN 'more than 10000 messages' END AS error, n % 3 < 2 AND n % 2 = 0 AS storable
+    """SELECT o_custkey, CASE WHEN date_sub('second', CAST(a AS TIMESTAMP), CAST(b AS TIMESTAMP)) > 93 * 86400 THEN 'more than 93 days' WHEN n % 20000 > 10000 THEN 'more than 10000 messages' END AS error, coalesce(n % 3 IN (0, 1), true) AND coalesce(n % 2 <= 0, true) AS storable
       FROM (SELECT o_custkey, min(o_orderdate) AS a, max(o_orderdate) AS b, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) // 100 AS BIGINT) AS n FROM orders GROUP BY 1)""",
 )
 

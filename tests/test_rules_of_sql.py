@@ -42,3 +42,12 @@ def test_sums_near_whole_numbers(spark, tmp_path):
     got, want = both(spark, "request_guards", "orders", [(k, v, day) for k, v in orders], "o_custkey long, o_totalprice double, o_orderdate timestamp_ntz", tmp_path)
     assert got == want
     assert {x[2] for x in got} == {False}  # 1, not 0
+
+
+def test_requests_without_prices_with_refunds_and_parts_of_seconds(spark, tmp_path):
+    day, late = dt.datetime(2024, 1, 1, 0, 0, 0, 500_000), dt.datetime(2024, 4, 3, 0, 0, 1, 200_000)  # 93 days and 0.7 s
+    orders = [(0, None, day), (1, None, None), (2, 4.0, day), (2, 1.0, late), *[(10 + i, -i / 2, day) for i in range(13)]]
+    got, want = both(spark, "request_guards", "orders", orders, "o_custkey long, o_totalprice double, o_orderdate timestamp_ntz", tmp_path)
+    assert got == want
+    of = {k: (error, kept) for k, error, kept in got}
+    assert of[0] == of[1] == (None, True) and of[2][0] is None and of[14] == (None, False) and of[16] == (None, True)  # -2 and -3
