@@ -8,6 +8,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -394,6 +395,55 @@ def test_extensions_of_many_equal_those_of_one():
                 assert (got[0][k], got[1][k]) == (sum(p[2] for p in pieces), sum(p[3] for p in pieces))
 
 
+def test_steps_of_many_give_the_pieces_of_one():
+    r = np.random.default_rng(2)
+    for reach in (50, 16, 61):
+        a = [r.integers(0, 4, r.integers(1, 90)).astype(np.int32) for _ in range(40)]
+        b = [np.delete(x, r.integers(0, len(x), 2)) if i % 2 else np.where(r.random(len(x)) < 0.1, -1, x).astype(np.int32) for i, x in enumerate(a)]
+        size = [np.array([len(y) for y in x]) for x in (a, b)]
+        (i, j), gone = ([np.zeros(len(a), np.int64)] * 2, None)
+        gone, (pair, *moves) = substring_dedup.steps([np.concatenate(a), np.concatenate(b)], [np.cumsum(n) - n for n in size], [i, j], size, 1, reach)
+        for k in range(len(a)):
+            own = list(zip(*(x[pair == k].tolist() for x in moves)))
+            x, y = a[k][:reach], b[k][:reach]
+            pieces = substring_dedup.extended(x, y)
+            assert substring_dedup.stepped(x, y, own) == pieces
+            assert (gone[0][k], gone[1][k]) == (sum(p[2] for p in pieces), sum(p[3] for p in pieces))
+
+
+def test_runs_of_many_pairs_equal_those_of_one():
+    r = np.random.default_rng(3)
+    rows = np.sort(r.integers(0, 30, 400))
+    pos, other, more = r.integers(0, 90, 400), r.integers(0, 90, 400), r.integers(6, 12, 400)
+    of, *runs = substring_dedup.diagonal_runs(rows, pos, other, more, 6, 8)
+    for k in range(30):
+        at = rows == k
+        want = substring_dedup.diagonal_runs(np.zeros(at.sum(), np.int64), pos[at], other[at], more[at], 6, 8)
+        got = list(zip(*(x[of == k].tolist() for x in runs)))
+        assert got == list(zip(*(x.tolist() for x in want[1:]))) == sorted(got)
+
+
+def test_rows_that_are_alone_go_whatever_the_batches():
+    r = random.Random(4)
+    for _ in range(50):
+        values = sorted(r.randrange(40) for _ in range(r.randrange(0, 60)))
+        rows = pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), pa.array(range(len(values)), pa.int32())], names=["hash", "pos"])
+        cuts = sorted([0, len(values), *(r.randrange(len(values) + 1) for _ in range(5))])
+        got = [x for b in substring_dedup.repeated(rows.slice(x, y - x) for x, y in zip(cuts, cuts[1:])) for x in b.column(1).to_pylist()]
+        assert got == [i for i, v in enumerate(values) if values.count(v) > 1]
+
+
+def test_seeds_and_words_of_spans_are_shuffled_once(spark, monkeypatch):
+    plans, written = [], substring_dedup.cut
+    monkeypatch.setattr(substring_dedup, "cut", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), written(df))[1])
+    texts = [(i, f"{prose(40, 200 + i)} {prose(60, 301 + i // 2)} {prose(40, 400 + i)}") for i in range(6)]
+    got = substring_dedup.passages(table(spark, texts)).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in got} == {(1, 0), (3, 2), (5, 4)}
+    joins = [[line for line in plan.splitlines() if "Join" in line] for plan in plans]
+    assert any(joins) and not [x for own in joins[:4] for x in own if "hash#" in x]  # texts, seeds, chains, passages: a join of seeds would shuffle them again
+    assert not [x for own in joins for x in own if " p#" in x or "(p#" in x]  # as would one of a span's words with those of the other side
+
+
 def test_chains_rise_in_both_texts():
     for seed in range(30):
         r = random.Random(seed)
