@@ -101,3 +101,27 @@ def test_merged_segments_hold_the_same(index, spark, tmp_path):
     empty = Index(spark, str(tmp_path / "e"), key="id")
     empty.write(docs.limit(0), "none", 1)
     assert search.stored_top(empty, empty.live(), "anything", 5).count() == 0
+
+
+def shuffled(spark):
+    return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalShuffleWrite()
+
+
+def test_nothing_is_shuffled_to_write_or_to_read_postings(spark, tmp_path, monkeypatch):
+    i = Index(spark, str(tmp_path / "i"), key="id")
+    before = shuffled(spark)
+    i.write(spark.createDataFrame(texts(300, 7), "id long, text string"), "a", 1)
+    assert shuffled(spark) == before
+    monkeypatch.setattr(postings, "LISTED", 1)
+    plan = search.Stored.of(i, i.live(), WORDS[:2]).postings._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_slices_are_bounded_by_rows_and_words(spark, monkeypatch):
+    monkeypatch.setattr(postings, "SLICE", 3)
+    monkeypatch.setattr(postings, "WORDS", 10)
+    sizes = [1, 0, 2, 0, 4, 7, 25, 1, 10, 1, 1, 1, 1]
+    rows = spark.createDataFrame([(i, ["w"] * n) for i, n in enumerate(sizes)], "doc long, t array<string>").coalesce(1).toArrow().combine_chunks().to_batches()[0]
+    got = [[d for b in x for d in b.column(0).to_pylist()] for x in postings._slices(iter([rows.slice(0, 5), rows.slice(5, 0), rows.slice(5)]))]
+    assert [d for x in got for d in x] == list(range(len(sizes)))
+    assert all(len(x) <= 3 and (len(x) == 1 or sum(sizes[d] for d in x) <= 10) for x in got) and len(got) == 8
