@@ -125,3 +125,26 @@ def test_slices_are_bounded_by_rows_and_words(spark, monkeypatch):
     got = [[d for b in x for d in b.column(0).to_pylist()] for x in postings._slices(iter([rows.slice(0, 5), rows.slice(5, 0), rows.slice(5)]))]
     assert [d for x in got for d in x] == list(range(len(sizes)))
     assert all(len(x) <= 3 and (len(x) == 1 or sum(sizes[d] for d in x) <= 10) for x in got) and len(got) == 8
+
+
+@pytest.mark.parametrize("told", ["kept", "either", "dealt"])
+def test_merged_slices_are_kept_or_dealt_anew(index, spark, tmp_path, monkeypatch, told):
+    """Dead documents go from blocks without a shuffle of postings; those that both bitmaps name are joined, as all are of slices that are hardly filled."""
+    i, docs = index
+    monkeypatch.setattr(postings, "FILLED", 9 if told == "dealt" else 0)
+    full = lambda rows, slot, bits: spark.sparkContext.broadcast(b"\xff" * (bits // 8))
+    monkeypatch.setattr(postings, "_bitmap", full if told == "either" else postings._bitmap)
+    met = []
+    kept = postings._dealt
+    monkeypatch.setattr(postings, "_dealt", lambda blocks, *rest: met.append(blocks.count()) or kept(blocks, *rest))
+    whole = Index(spark, str(tmp_path / told), key="id")
+    i.merge(whole, "all", 9)
+    assert sum(met) == 0 if told == "kept" else sum(met) > 0
+    own = whole.read("postings").select("term", F.explode(F.arrays_zip("docs", "positions")).alias("e")).select("e.docs", "term", "e.positions")
+    want = search.postings(docs, "id").select("doc", "term", "positions")
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, want.collect()))
+    bounds = whole.read("postings").selectExpr("array_max(transform(positions, x -> size(x))) as tf", "max_tf", "min_dl", "docs").collect()
+    size = {r["doc"]: r["dl"] for r in search.postings(docs, "id").collect()}
+    assert all(r["tf"] == r["max_tf"] and r["min_dl"] <= min(size[d] for d in r["docs"]) for r in bounds)
+    query = f"{WORDS[0]} {WORDS[3]}"
+    assert rows(search.stored_tiers(whole, whole.live(), query)) == rows(search.stored_tiers(i, i.live(), query))
