@@ -374,6 +374,32 @@ def test_a_link_beside_others_of_its_texts_is_found(spark):
     assert [rows[i]["n_links"] for i in (0, 1, 2, 3, 10)] == [sum(i in x for x in got) for i in (0, 1, 2, 3, 10)] and all(r["n_words"] >= 50 for r in rows.values())
 
 
+@pytest.mark.parametrize("block", [5, 1024])
+def test_every_place_of_a_common_seed_can_be_matched(spark, monkeypatch, block):
+    """Two texts whose only seeds are in 40 others, where neither is the first nor the last: all passages by brute force over the pairs, block by block."""
+    monkeypatch.setattr(substring_dedup, "BLOCK", block)
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=6))
+    line = [word() for _ in range(13)]
+    tail = [word() for _ in range(60)]
+    changed = [word() if i % 5 == 0 else w for i, w in enumerate(tail)]
+    texts = [[*(word() for _ in range(30)), *line, *(word() for _ in range(70))] for _ in range(40)]
+    order = sorted(range(42), key=lambda i: i % 7)
+    texts = [" ".join(x) for x in [*texts, [*(word() for _ in range(30)), *line, *tail], [*(word() for _ in range(30)), *line, *changed]]]
+    d = table(spark, list(enumerate(texts[i] for i in order)))
+    pair = tuple(sorted((order.index(40), order.index(41)), reverse=True))
+    assert {(x["doc_id"], x["other_id"]) for x in substring_dedup.passages(d, every=True).collect()} == {pair}
+    assert {x["doc_id"]: (x["class_id"], x["n_links"]) for x in substring_dedup.classes(d, every=True).collect()} == {i: (pair[1], 1) for i in pair}
+
+
+def test_every_two_places_meet_once(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BLOCK", 3)
+    places = [(h, doc, 10 * h + x, x % 2) for h, n in ((1, 2), (2, 11)) for doc in range(n) for x in range(1 + doc % 3)]
+    rows = spark.createDataFrame([(*p, sum(q[0] == p[0] for q in places)) for p in places], "hash long, doc_id long, pos int, more int, n long")
+    got = sorted((x["doc_id"], x["other_id"], *x["m"]) for x in substring_dedup._all_met(rows, 6).collect())
+    assert got == sorted((a[1], b[1], a[2], b[2], 6 + min(a[3], b[3])) for a in places for b in places if a[0] == b[0] and a[1] > b[1])
+
+
 def test_extension_crosses_changed_and_skipped_words():
     a = np.arange(40)
     b = np.concatenate([a[:10], [99], a[11:20], a[22:40]])  # one word differs, two are left out
